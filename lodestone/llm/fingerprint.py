@@ -78,7 +78,7 @@ def likeness(a: Column, b: Column) -> Column:
         return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
     norm = F.sqrt(dot(a, n_a, a, n_a) * dot(b, n_b, b, n_b))
-    cosine = F.when(norm > 0, dot(a, n_a, b, n_b) / norm).otherwise(0.0)
+    cosine = F.coalesce(dot(a, n_a, b, n_b) / F.nullif(norm, F.lit(0.0)), F.lit(0.0))
     return F.when(a == b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
 
 
