@@ -18,17 +18,25 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or for a session without it a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder.rstrip("/")
+        return _with_scheme(spark, folder)
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
-        return known.get().rstrip("/")
+        return _with_scheme(spark, known.get())
     own = tempfile.mkdtemp(prefix="lodestone-")
     atexit.register(shutil.rmtree, own, True)
     context.setCheckpointDir("file://" + own)
     return "file://" + own
 
 
+def _with_scheme(spark: SparkSession, folder: str) -> str:
+    """`folder` as a URI that tasks can open too, with the cluster's default file system where it names none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -60,3 +68,20 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
         .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(low)))
         .drop("_part", "_at", "_before")
     )
+
+
+#: A key is hot if more than one in so many rows has it, so there are at most so many hot keys.
+HOT_SHARE = 10_000
+
+
+def skew_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join of `big` with `small`, which has a row for each key and its count in `big` as `_n`.
+
+    Hot keys, at most `HOT_SHARE`, are joined by broadcast, so their rows stay where they are; others by a shuffle.
+    `big` is read twice, so it should be a written table.
+    """
+    total = big.count()
+    small = written(small, "keyed")
+    hot = F.col("_n") > max(1, total // HOT_SHARE)
+    many = F.broadcast(small.filter(hot))
+    return big.join(many, key).unionByName(big.join(F.broadcast(many.select(key)), key, "left_anti").join(small.filter(~hot), key))

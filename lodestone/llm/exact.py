@@ -24,10 +24,9 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HOT_SHARE, skew_join, written
 
 SALTS = 64
-HOT_SHARE = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -67,7 +66,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     keys, found = groups(docs, digest)
     shared = found.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_d")
     if digest is sha256 and shared.isEmpty():
-        out = keys.join(found.drop("_s"), "_d").withColumn("text_sha256", F.lower(F.hex("_d")))
+        out = skew_join(keys, found.select("_d", "keep_id", "group_size", F.col("group_size").alias("_n")), "_d").withColumn("text_sha256", F.lower(F.hex("_d")))
     else:
         text = normalised(F.col("text"))
         rows = docs.select("doc_id", F.unhex(digest(text)).alias("_d"), F.sha2(text, 512).alias("_s"), sha256(text).alias("text_sha256"))

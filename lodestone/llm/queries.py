@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, fingerprint, mixing
+from . import exact, fingerprint, mixing, packing, secrets, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir)).drop("n_novel")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_docs(spark, sf_dir))
 
@@ -27,11 +40,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_warc": op3_warc,
+    "op5_secrets": op5_secrets,
+    "op6_packing": op6_packing,
     "op8_fingerprints": op8_fingerprints,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
 ORACLES: dict[str, str] = {
+    "op3_warc": f"""
+        WITH rows AS (
+            SELECT page_id, coalesce(html, '') AS payload, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                   list_transform(range(8), lambda g: CAST('0x' || substr(sha1(coalesce(html, '')), 5 * g + 1, 5) AS BIGINT)) AS parts,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(parts, lambda n:
+                   substr('{_BASE32}', CAST(n // 32768 + 1 AS BIGINT), 1) || substr('{_BASE32}', CAST(n // 1024 % 32 + 1 AS BIGINT), 1)
+                   || substr('{_BASE32}', CAST(n // 32 % 32 + 1 AS BIGINT), 1) || substr('{_BASE32}', CAST(n % 32 + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM rows""",
     "op1_mixing": r"""
         WITH rows AS (
             SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
