@@ -1,7 +1,7 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-Documents are tokenized once, whole, where they are read; each is cut into windows-full of tokens and a rest, and
-only rows of ids, lengths and checksums go on. Full pieces are windows of their own. Rests are spread by a hash of
+Documents are tokenized once, whole, where they are read; each is cut into windows-full of tokens and a rest (that
+of one in `GRAIN_SHARE` again, at the binary digits of its length, for pieces to level windows with), and only rows of ids, lengths and checksums go on. Full pieces are windows of their own. Rests are spread by a hash of
 their ids over blocks of about `BLOCK_WINDOWS` windows, and in each block differencing partitions them into as few
 windows as their sum allows: every piece starts as a partition of one part; again and again the two partitions of
 the largest imbalance are merged, the largest part of one with the smallest of the other, until one is left. If a
@@ -37,6 +37,7 @@ from .common import written
 
 WINDOW = 4096
 BLOCK_WINDOWS = 256
+GRAIN_SHARE = 8
 CACHE = 500_000
 END = 2
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]|<\\|")
@@ -113,6 +114,25 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def cuts(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: full windows, then the rest.
+
+    The rest of one document in `GRAIN_SHARE`, by the checksum of its ids, is cut at its length's binary digits, so
+    each block has pieces of all sizes to level its windows with.
+    """
+    full = len(ids) // window * window
+    found, at = [(s, window) for s in range(0, full, window)], full
+    rest = len(ids) - full
+    if rest and zlib.crc32(ids.tobytes()) % GRAIN_SHARE == 0:
+        for digit in reversed(range(rest.bit_length())):
+            if rest >> digit & 1:
+                found.append((at, 1 << digit))
+                at += 1 << digit
+    elif rest:
+        found.append((full, rest))
+    return found
+
+
 def _cutter(path: str, window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
@@ -124,7 +144,7 @@ def _cutter(path: str, window: int):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([x or "" for x in batch.column("text").to_pylist()])):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    rows += [(doc_id, s, min(window, len(ids) - s), zlib.crc32(ids[s : s + window].tobytes()), len(ids)) for s in range(0, len(ids), window)]
+                    rows += [(doc_id, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for s, n in cuts(ids, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return cut

@@ -53,7 +53,9 @@ def test_pack_whole(spark, extra):
     want = defaultdict(list)
     for doc_id, text, *_ in rows:
         ids = reference(text)
-        want[doc_id] += [(len(ids), s, min(64, len(ids) - s), zlib.crc32(ids[s : s + 64].tobytes())) for s in range(0, len(ids), 64)]
+        want[doc_id] += [(len(ids), s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in packing.cuts(ids, 64)]
+        assert [s for s, _ in packing.cuts(ids, 64)] == np.cumsum([0, *(n for _, n in packing.cuts(ids, 64))]).tolist()[:-1]
+        assert sum(n for _, n in packing.cuts(ids, 64)) == len(ids)
     assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
     for window in windows.values():
         at = 0
