@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, fingerprint, mixing, packing, secrets, warc
+from . import exact, fingerprint, mixing, packing, secrets, substrings, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_docs(spark, sf_dir)).drop("n_novel")
 
@@ -41,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_warc": op3_warc,
+    "op4_substrings": op4_substrings,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op8_fingerprints": op8_fingerprints,
