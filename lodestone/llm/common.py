@@ -85,3 +85,12 @@ def skew_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     hot = F.col("_n") > max(1, total // HOT_SHARE)
     many = F.broadcast(small.filter(hot))
     return big.join(many, key).unionByName(big.join(F.broadcast(many.select(key)), key, "left_anti").join(small.filter(~hot), key))
+
+
+def one_each(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """One row of `rows` for each row of `keys` (distinct, without nulls), by the columns `names`.
+
+    Rows move once: the window that picks among equal keys has the join's partitioning and order.
+    """
+    pick = F.row_number().over(Window.partitionBy(*names).orderBy(names[0]))
+    return rows.join(keys, names, "left_semi").withColumn("_pick", pick).filter("_pick = 1").drop("_pick")

@@ -24,7 +24,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, skew_join, written
+from .common import HOT_SHARE, one_each, skew_join, written
 
 SALTS = 64
 
@@ -75,8 +75,8 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns, one for each text: repeated rows of the keeper stay once."""
-    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("_k"), F.unhex("text_sha256").alias("_d")).distinct()
-    rows = docs.withColumn("_d", F.unhex(sha256(normalised(F.col("text")))))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")) & (rows["_d"] == kept["_d"]), "left_semi").drop("_d")
-    return joined
+    """One row of `docs` for each text, with all of its columns: one whose doc_id is the text's keep_id."""
+    no_id = F.lit(-(1 << 63))
+    keys = dedup(docs).filter("kept").select(F.coalesce("doc_id", no_id).alias("_id"), F.unhex("text_sha256").alias("_d")).distinct()
+    rows = docs.withColumn("_id", F.coalesce("doc_id", no_id)).withColumn("_d", F.unhex(sha256(normalised(F.col("text")))))
+    return one_each(rows, keys, ["_id", "_d"]).select(*docs.columns)
