@@ -27,9 +27,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ from .common import written
 WINDOW = 4096
 BLOCK_WINDOWS = 256
 GRAIN_SHARE = 8
-CACHE = 500_000
+CACHE = 1_000_000
 END = 2
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]|<\\|")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -68,15 +70,32 @@ class Encoder:
             and split[0]["pattern"].get("Regex", "").endswith("[^\\s\\p{L}\\p{N}]+") and split[1].get("use_regex") is False
         )
         self.clear()
+        if self.by_word:
+            self.split = regex.compile(split[0]["pattern"]["Regex"])
+            raw["normalizer"], raw["pre_tokenizer"], raw["added_tokens"] = None, split[1], []
+            self.piece = Tokenizer.from_str(json.dumps(raw))
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.firsts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        """Keeps the ids of `words`; pieces that words share are tokenized once."""
+        cut = []
+        for word in words:
+            if word.isalpha():
+                cut.append((word,))
+            elif word[-1] in ".," and word[:-1].isalpha():
+                cut.append((word[:-1], word[-1]))
+            else:
+                cut.append(self.split.findall(word))
+        known = self.pieces
+        new = list(set().union(*cut).difference(known))
+        known.update(zip(new, (e.ids for e in self.piece.encode_batch_fast(new, add_special_tokens=False))))
+        found = [known[p[0]] if len(p) == 1 else [i for x in p for i in known[x]] for p in cut]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         self.firsts = np.concatenate((self.firsts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.ids = np.concatenate((self.ids, flat))
@@ -93,13 +112,13 @@ class Encoder:
         if not plain:
             return out
         words = [texts[i].lower().split() for i in plain]
-        if len(self.index) > CACHE:
+        if len(self.index) > CACHE or len(self.pieces) > CACHE:
             self.clear()
-        unknown = set().union(*words) - self.index.keys()
+        unknown = set().union(*words).difference(self.index)
         if unknown:
             self._learn(list(unknown))
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((x for w in words for x in map(self.index.__getitem__, w)), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
