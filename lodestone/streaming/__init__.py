@@ -1,0 +1 @@
+"""Nothing: the dialect has batch queries only. Results are DataFrames, so foreachBatch may run them on a stream."""
