@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .config import Settings, TableEntry
-from .sources import SOURCES, files, synthetic
+from .sources import SOURCES, files, mysql, synthetic
 from .sql.lexer import SqlError
 from .types import name_of_type
 
@@ -62,12 +62,13 @@ class Catalog:
 
     # listings
 
-    def names(self) -> list[tuple[str, str, str]]:
+    def names(self, catalog: str) -> list[tuple[str, str, str]]:
+        """The tables of a catalog; a MySQL server is asked only if it is in it."""
         out: dict[tuple[str, str, str], None] = {}
         for e in self.entries:
+            if e.catalog.lower() != catalog.lower():
+                continue
             if e.kind == "mysql" and e.wild:
-                from .sources import mysql
-
                 tables = mysql.discover(self.spark, e).select("table_schema", "table_name").distinct().collect()
                 out.update({(e.catalog, s, t): None for s, t in tables if e.matches((e.catalog, s, t))})
             else:
@@ -83,12 +84,11 @@ class Catalog:
         return self._listed("catalog", [e.catalog for e in self.entries], like, escape)
 
     def show_schemas(self, catalog: str | None = None, like: str | None = None, escape: str | None = None) -> DataFrame:
-        catalog = (catalog or self.catalog).lower()
-        return self._listed("schema", [s for c, s, _ in self.names() if c.lower() == catalog], like, escape)
+        return self._listed("schema", [s for _, s, _ in self.names(catalog or self.catalog)], like, escape)
 
     def show_tables(self, name: tuple[str, ...] = (), like: str | None = None, escape: str | None = None) -> DataFrame:
         catalog, schema = (self.catalog, self.schema)[: 2 - len(name)] + name[-2:]
-        chosen = [t for c, s, t in self.names() if (c.lower(), s.lower()) == (catalog.lower(), schema.lower())]
+        chosen = [t for _, s, t in self.names(catalog) if s.lower() == schema.lower()]
         return self._listed("table", chosen, like, escape)
 
     def columns(self, parts: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -104,7 +104,7 @@ class Catalog:
         entry, name = self.entry(parts)
         if entry.kind == "file":
             return files.partitions(self.spark, entry, name)
-        return self.spark.createDataFrame([], T.StructType([]))
+        return self.spark.range(0).select()
 
     def show_create(self, parts: tuple[str, ...], what: str) -> DataFrame:
         if what == "VIEW":

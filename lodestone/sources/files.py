@@ -62,5 +62,5 @@ def partitions(spark: SparkSession, entry: TableEntry, name: tuple[str, str, str
     """The values of the partition columns; no columns for a table without any."""
     keys = list(entry.options.get("partitions") or [])
     if not keys:
-        return spark.createDataFrame([], T.StructType([]))
+        return spark.range(0).select()
     return read(spark, entry, name, {}).select(*keys).distinct()
