@@ -112,6 +112,20 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(budget // nullif(source_size, 0), 0) * size
                     + least(size, greatest(0, budget - coalesce(budget // nullif(source_size, 0), 0) * source_size - start)) AS BIGINT) AS taken
         FROM summed""",
+    "op4_substrings": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (
+            SELECT doc_id, start, array_to_string(words[start:start + 12], ' ') AS gram
+            FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS start FROM texts)),
+        covered AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(start, start + 12)) AS place
+            FROM windows JOIN (SELECT gram, min(doc_id) AS low FROM windows GROUP BY gram) USING (gram) WHERE low < doc_id),
+        places AS (SELECT doc_id, unnest(generate_series(1, len(words))) AS place, unnest(words) AS word FROM texts),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+            FROM places ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)""",
     "op10_exact_dedup": """
         WITH rows AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
