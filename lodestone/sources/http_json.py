@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import TableEntry
+from ..shipping import ship
 from ..types import lenient, type_of_name
 
 FORMAT = "lodestone_http"
@@ -114,6 +115,7 @@ def read(spark: SparkSession, entry: TableEntry, name: tuple[str, str, str], req
     asked = requests.get(wanted.lower())
     if asked is None:
         raise ValueError(f"{'.'.join(name)} needs a condition {wanted} = '{{\"url\": ...}}' that every row must meet")
+    ship(spark)
     spark.dataSource.register(HttpSource)
     schema = T.StructType([T.StructField(c, T.StringType()) for c, _ in entry.columns])
     options = {"request": asked, "filterColumn": wanted, "resultColumn": entry.options.get("result-column") or "_", "slices": str(entry.options.get("slices") or spark.sparkContext.defaultParallelism)}
