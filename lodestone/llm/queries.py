@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
 from . import exact, fingerprint, licenses, mixing, near, packing, secrets, substrings, toxicity, warc
 
 
@@ -54,17 +55,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(_docs(spark, sf_dir))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """`query`, after its package has been made known to Python workers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing,
-    "op2_toxicity": op2_toxicity,
-    "op3_warc": op3_warc,
-    "op4_substrings": op4_substrings,
-    "op5_secrets": op5_secrets,
-    "op6_packing": op6_packing,
-    "op7_licenses": op7_licenses,
-    "op8_fingerprints": op8_fingerprints,
-    "op9_near_dedup": op9_near_dedup,
-    "op10_exact_dedup": op10_exact_dedup,
+    "op1_mixing": _shipped(op1_mixing),
+    "op2_toxicity": _shipped(op2_toxicity),
+    "op3_warc": _shipped(op3_warc),
+    "op4_substrings": _shipped(op4_substrings),
+    "op5_secrets": _shipped(op5_secrets),
+    "op6_packing": _shipped(op6_packing),
+    "op7_licenses": _shipped(op7_licenses),
+    "op8_fingerprints": _shipped(op8_fingerprints),
+    "op9_near_dedup": _shipped(op9_near_dedup),
+    "op10_exact_dedup": _shipped(op10_exact_dedup),
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
