@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import exact, mixing, near, packing, toxicity
 from lodestone.llm.common import written
+from lodestone.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
