@@ -87,9 +87,11 @@ def test_blocks_settle_what_stars_leave(spark, monkeypatch):
 
 def test_kept_documents(spark):
     rows = variants(3) + odd_rows(3, 10)
-    kept = near.kept_documents(docs(spark, rows)).collect()
-    classes = near.classes(docs(spark, rows)).collect()
-    assert len(kept) == len({(c.class_id, c.class_size) for c in classes}) or len(kept) <= len(classes)
+    kept = near.kept_documents(docs(spark, rows))
+    groups = brute(spark, rows)
+    assert kept.columns == docs(spark, rows).columns
+    assert kept.count() == round(sum(n / size for (_, _, size), n in groups.items()))
+    assert {r.doc_id for r in kept.collect()} == {name for _, name, _ in groups}
     assert len(near.kept_documents(docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words than those there")])).collect()) == 2
 
 
