@@ -26,8 +26,9 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .common import written
 WINDOW = 4096
 BLOCK_WINDOWS = 256
 GRAIN_SHARE = 8
-CACHE = 1_000_000
+CACHE = 600_000
 END = 2
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]|<\\|")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -52,6 +53,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
     """Token ids of texts by the tokenizer file at `path`, with a cache of words."""
 
@@ -70,14 +79,14 @@ class Encoder:
             and split[0]["pattern"].get("Regex", "").endswith("[^\\s\\p{L}\\p{N}]+") and split[1].get("use_regex") is False
         )
         self.clear()
+        self.pieces: dict[str, bytes] = {}  # ids as packed integers; quick to make words of again
         if self.by_word:
             self.split = regex.compile(split[0]["pattern"]["Regex"])
             raw["normalizer"], raw["pre_tokenizer"], raw["added_tokens"] = None, split[1], []
             self.piece = Tokenizer.from_str(json.dumps(raw))
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.index = Numbers()
         self.firsts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
@@ -92,14 +101,13 @@ class Encoder:
                 cut.append(self.split.findall(word))
         known = self.pieces
         new = list(set().union(*cut).difference(known))
-        known.update(zip(new, (e.ids for e in self.piece.encode_batch_fast(new, add_special_tokens=False))))
-        found = [known[p[0]] if len(p) == 1 else [i for x in p for i in known[x]] for p in cut]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        known.update(zip(new, (array("I", e.ids).tobytes() for e in self.piece.encode_batch_fast(new, add_special_tokens=False))))
+        found = [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in cut]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         self.firsts = np.concatenate((self.firsts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.ids = np.concatenate((self.ids, flat))
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
@@ -112,13 +120,14 @@ class Encoder:
         if not plain:
             return out
         words = [texts[i].lower().split() for i in plain]
-        if len(self.index) > CACHE or len(self.pieces) > CACHE:
+        if len(self.index) > CACHE:
             self.clear()
-        unknown = set().union(*words).difference(self.index)
-        if unknown:
-            self._learn(list(unknown))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
+        if len(self.pieces) > 2 * CACHE:
+            self.pieces.clear()
+        counts, known = np.fromiter(map(len, words), np.int64, len(words)), len(self.index)
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if len(self.index) > known:
+            self._learn(list(islice(reversed(self.index), len(self.index) - known))[::-1])
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
