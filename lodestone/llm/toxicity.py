@@ -38,7 +38,7 @@ from .common import written
 SAMPLE, TERMS, CANDIDATES = 20_000, 200, 30_000
 STARTS = range(4, 10)
 FUZZY, AROUND, THRESHOLD = 5, 6, 0.3
-CACHE = 400_000
+CACHE = 200_000
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting")
 REPORTING = frozenset("said says saying called calling wrote quoted quote term word phrase dit disait écrit sagte nannte schrieb dijo llamó escribió".split())
 QUOTES = frozenset("\"'“”„‟«»‹›‘’`")
