@@ -6,7 +6,10 @@ index names the templates and places of each fingerprint. Where a document has a
 give a diagonal; hits on near diagonals form a candidate window of the document. The template is aligned with the
 window by dynamic programming within `BAND` words of the diagonal, for the most matching words (a longest common
 subsequence); matched words against the template's words are the coverage, and at `COVERAGE` or more the match is
-reported with its span. Of overlapping matches the one with more matched words stays.
+reported with its span. Where a document has several windows of a template, alignments may also pass from one to a
+later one, over an insertion of any length, if the part that follows matches more than `JUMP` words; the span then
+covers the insertion. Of matches that share a part the one with the larger excess of matched over unmatched template
+words stays, so a text isn't reported by a longer license that it is most of.
 
 Any undisturbed run of `GRAM + WINNOW - 1` template words is sure to hold a fingerprint. Documents are scanned whole,
 in the task that reads them; the index is that of the templates given, so nothing is shuffled.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .arrow import grams, groups_of, texts_of, words_of
 
-GRAM, WINNOW, BAND, COVERAGE = 3, 2, 12, 0.8
+GRAM, WINNOW, BAND, COVERAGE, JUMP = 3, 2, 12, 0.8, 8
 SLICE = 2 << 20
 FOUND = "doc_id long, license string, coverage double, matched_words long, template_words long, start long, end long, licensed_text string"
 PLAIN = np.full(256, 0x20, np.uint8)
@@ -38,14 +41,20 @@ TEMPLATES = {
     "Apache-2.0 (header)": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "AGPL-3.0 (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-3.0 (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0 (header)": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "LGPL-2.1 (header)": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     "MIT (notice)": "Released under the MIT License.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "MPL-2.0 (header)": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 (notice)": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0 (notice)": "Licensed under CC BY-SA 4.0.",
+    "All rights reserved (notice)": "All rights reserved.",
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 
@@ -70,18 +79,18 @@ class Index:
                     self.places[int(gram[i])].append((number, i))
         self.fingerprints = np.array(sorted(self.places), np.uint64)
 
-    def candidates(self, gram: np.ndarray, hits: np.ndarray) -> list[tuple[int, int]]:
-        """(template, start in the document) of hits whose diagonals lie within the band of each other."""
+    def candidates(self, gram: np.ndarray, hits: np.ndarray) -> dict[int, list[int]]:
+        """Of each template the starts in the document of hits whose diagonals lie within the band of each other."""
         diagonals = defaultdict(list)
         for at in hits:
             for number, place in self.places[int(gram[at])]:
                 diagonals[number].append(int(at) - place)
-        found = []
+        found = defaultdict(list)
         for number, starts in diagonals.items():
             last = None
             for start in sorted(starts):
                 if last is None or start - last > BAND:
-                    found.append((number, start))
+                    found[number].append(start)
                     last = start
         return found
 
@@ -111,6 +120,78 @@ def aligned(template: np.ndarray, document: np.ndarray, start: int, band: int =
     return int(score[best]), int(first[best]), int(last[best])
 
 
+def chained(template: np.ndarray, document: np.ndarray, starts: list[int], band: int = BAND) -> tuple[int, list[tuple[int, int]]]:
+    """(matched words, spans of the parts) of the best alignment that may pass between the windows of `starts`.
+
+    Passing costs `JUMP` matched words; of equal alignments that of the shortest span counts.
+    """
+    # the windows' diagonals in order; windows that touch are one
+    cells = np.unique(np.add.outer(np.array(starts), np.arange(-band, 2 * band + 1)))
+    window = np.cumsum(np.diff(cells, prepend=cells[0]) > 1)
+    heads = np.flatnonzero(np.diff(window, prepend=-1))
+    own, unit = np.arange(len(cells)), len(document) + 1
+    # a cell's value: matched words less passes, then the first matched place; `part` is the first place of the last part
+    value, matched, passes, first, last, part = (np.full(len(cells), x, np.int64) for x in (0, 0, -1, -1, -1, -1))
+    events: list[tuple[int, int, int]] = []
+    adjacent = np.append(np.diff(cells) == 1, False)
+    for i in range(len(template)):
+        places = cells + i
+        inside = (places >= 0) & (places < len(document))
+        equal = np.zeros(len(cells), bool)
+        equal[inside] = document[places[inside]] == template[i]
+        meet = np.where(equal, np.where(first < 0, unit + places, value + unit), value)
+        up = np.where(adjacent, np.append(value[1:], -1), -1)
+        better = meet > up
+        taken = np.where(better, own, np.minimum(own + 1, len(own) - 1))
+        equal &= better
+        value = np.where(better, meet, up)
+        matched, passes, first, last, part = matched[taken] + equal, passes[taken], first[taken], last[taken], part[taken]
+        first, part, last = np.where(equal & (first < 0), places, first), np.where(equal & (part < 0), places, part), np.where(equal, places, last)
+        if len(heads) > 1:  # from the best cell of all earlier windows to a window's head
+            most = np.maximum.accumulate(value)
+            best = np.maximum.accumulate(np.where(value == most, own, 0))[heads[1:] - 1]
+            gain = value[best] - JUMP * unit
+            for head, source in zip(heads[1:][gain > value[heads[1:]]], best[gain > value[heads[1:]]]):
+                if part[source] < 0:
+                    continue
+                events.append((int(passes[source]), int(part[source]), int(last[source])))
+                value[head], matched[head], first[head], last[head], part[head] = value[source] - JUMP * unit, matched[source], first[source], last[source], -1
+                passes[head] = len(events) - 1
+        # words of the document without partner
+        lifted = value + window * (len(template) + JUMP + 2) * unit
+        taken = np.maximum.accumulate(np.where(lifted == np.maximum.accumulate(lifted), own, 0))
+        value, matched, passes, first, last, part = (x[taken] for x in (value, matched, passes, first, last, part))
+    best = int(np.lexsort((last - first, -(value // unit)))[0])
+    parts = [(int(part[best]), int(last[best]))] if part[best] >= 0 else []
+    event = int(passes[best])
+    while event >= 0:
+        event, *span = events[event]
+        parts.append(tuple(span))
+    return int(matched[best]), parts[::-1]
+
+
+def matches(template: np.ndarray, document: np.ndarray, starts: list[int]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(matched words, spans of the parts) of alignments of `COVERAGE` or more: of each window, and across windows."""
+    least = COVERAGE * len(template)
+    single = [aligned(template, document, start) for start in starts]
+    found = [(m, [(f, e)]) for m, f, e in single if m >= least]
+    todo = [(0, len(document))]
+    while todo:
+        lo, hi = todo.pop()
+        # whatever passes between windows is made of parts of single alignments
+        near = [(m, start) for (m, f, e), start in zip(single, starts) if m and e >= lo and f < hi]
+        if len(near) < 2 or sum(m for m, _ in near) < least:
+            continue
+        matched, parts = chained(template, document[lo:hi], [start - lo for _, start in near])
+        if matched >= least:
+            parts = [(f + lo, e + lo) for f, e in parts]
+            if len(parts) > 1 or (matched, parts) not in found:
+                found.append((matched, parts))
+            todo += [(lo, parts[0][0]), (parts[-1][1] + 1, hi)]
+            todo += [(a[1] + 1, b[0]) for a, b in zip(parts, parts[1:])]
+    return found
+
+
 def _scanner(templates: dict[str, str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
@@ -129,18 +210,17 @@ def _scanner(templates: dict[str, str]):
                 for text in np.unique(owner):
                     words = hashes[firsts[text] : firsts[text + 1]]
                     found = []
-                    for number, start in index.candidates(gram[firsts[text] :], hits[owner == text] - firsts[text]):
+                    for number, starts in index.candidates(gram[firsts[text] :], hits[owner == text] - firsts[text]).items():
                         template = index.words[number]
-                        matched, first, last = aligned(template, words, start)
-                        if matched >= COVERAGE * len(template):
-                            found.append((-matched, first, last, number))
+                        for matched, parts in matches(template, words, starts):
+                            found.append((len(template) - 2 * matched, parts[-1][1] - parts[0][0], parts[0][0], parts[-1][1], number, matched, parts))
                     kept: list[tuple] = []
                     for match in sorted(found):
-                        if all(match[2] < k[1] or match[1] > k[2] for k in kept):
+                        if all(a[1] < b[0] or a[0] > b[1] for k in kept for a in match[-1] for b in k[-1]):
                             kept.append(match)
                     if kept:
                         a, b = int(bounds[i + text] - lo), int(bounds[i + text + 1] - lo)
-                        rows += [(ids[i + text], index.names[n], -m / len(index.words[n]), -m, len(index.words[n]), *_span(data[lo + a : lo + b], plain[a:b], f, e)) for m, f, e, n in sorted(kept, key=lambda k: k[1])]
+                        rows += [(ids[i + text], index.names[n], m / len(index.words[n]), m, len(index.words[n]), *_span(data[lo + a : lo + b], plain[a:b], f, e)) for _, _, f, e, n, m, _ in sorted(kept, key=lambda k: k[2:4])]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             names = ("doc_id", "license", "coverage", "matched_words", "template_words", "start", "end", "licensed_text")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names)

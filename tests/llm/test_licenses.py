@@ -51,5 +51,31 @@ def test_matches_are_found_with_their_spans(spark, extra):
             assert best.license.split(" ")[0] == name.split(" ")[0] or name.startswith("CC-BY")
 
 
+def found_in(spark, texts):
+    out = [[] for _ in texts]
+    for r in licenses.scan(docs(spark, list(enumerate(texts)))).collect():
+        assert texts[r.doc_id][r.start : r.end] == r.licensed_text
+        out[r.doc_id].append((r.license, r.coverage, r.licensed_text))
+    return [sorted(x, key=lambda r: texts[i].index(r[2])) for i, x in enumerate(out)]
+
+
+def test_each_license_by_its_own_name(spark):
+    names = ["BSD-2-Clause", "BSD-3-Clause", "GPL-2.0 (header)", "LGPL-2.1 (header)", "LGPL-3.0 (header)", "AGPL-3.0 (header)", "GPL-3.0 (header)", "CC-BY-4.0 (notice)", "CC-BY-NC-4.0 (notice)"]
+    texts = [f"Copyright 2020 Some One. {licenses.TEMPLATES[n]} Then code." for n in names]
+    found = found_in(spark, ["lo mi (c) One. All rights reserved. ka", *texts])
+    assert [x[:2] for x in found[0]] == [("All rights reserved (notice)", 1.0)]
+    assert [[x[:2] for x in f] for f in found[1:]] == [[(n, 1.0)] for n in names]
+
+
+@pytest.mark.parametrize("long", [31, 200, 6000])
+def test_insertions_of_any_length(spark, long):
+    words = licenses.TEMPLATES["MIT"].split()
+    filler = " ".join(["ka", "lo", "mi"][k % 3] for k in range(long))
+    cut = " ".join(words[:60]) + f" {filler} {licenses.TEMPLATES['MPL-2.0 (header)']} {filler} " + " ".join(words[60:])
+    once, twice = found_in(spark, [f"{filler} {cut} {filler}", f"{cut} {filler} {cut}"])
+    assert [x[:2] for x in once] == [("MIT", 1.0), ("MPL-2.0 (header)", 1.0)] and once[0][2] == cut.rstrip(".")
+    assert sorted(x[:2] for x in twice) == [("MIT", 1.0)] * 2 + [("MPL-2.0 (header)", 1.0)] * 2
+
+
 def test_empty(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
