@@ -1,7 +1,8 @@
 """Secret scans: patterns of known shapes, and strings that zstandard can't explain in sensitive places.
 
 Base spans are matches of `ASSIGN`, `ACCESS` and `HEX`. The method adds candidates: strings of `LEAST` or more token
-characters with a digit or mixed case, at most `REACH` characters after a sensitive word. A candidate's novelty is
+characters with a digit or mixed case that start at most `REACH` characters after a sensitive word, whole however
+long. A candidate's novelty is
 the number of bytes it adds to a zstandard frame primed with a dictionary of identifiers and the code around it,
 for each of its characters; at `NOVELTY` or more it is reported as `novel`. Words, repeats of the context and
 identifiers compress well; keys don't.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,11 +66,15 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if not any(word in low for word in SENSITIVE_WORDS):
         return []
     found: dict[tuple[int, int], None] = {}
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends = [e for _, e in runs]
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 1)):
-            start, end = m.start(), m.end()
-            while end < len(text) and end - start < 4096 and CANDIDATE.fullmatch(text, start, end + 1):  # the reach cuts starts only
-                end += 1
+        for k in range(bisect_right(ends, word.end()), len(runs)):
+            start, end = max(runs[k][0], word.end()), runs[k][1]
+            if start > word.end() + REACH:
+                break
+            if end - start < LEAST:  # the word stands in the run
+                continue
             string = text[start:end]
             mixed = any(c.isdigit() for c in string) and any(c.isalpha() for c in string) or (string.lower() != string and string.upper() != string and not string.istitle())
             if mixed and not any(s <= start and end <= e for s, _, e in base):

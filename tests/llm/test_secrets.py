@@ -42,5 +42,14 @@ def test_novel_strings():
     assert not secrets.novel_spans(f"code {KEY} and token {KEY} again", [])  # the context explains it
 
 
+def test_reach_and_length():
+    for gap in (49, 50, 64, 65):
+        text = "the bearer" + " " * gap + KEY + " here"
+        assert secrets.novel_spans(text, []) == ([(10 + gap, 3, 10 + gap + len(KEY))] if gap <= 64 else [])
+    rng = random.Random(3)
+    long = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    assert secrets.novel_spans(f"the bearer {long} here", []) == [(11, 3, 11 + len(long))]
+
+
 def test_empty(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
