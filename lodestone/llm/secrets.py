@@ -5,7 +5,9 @@ characters with a digit or mixed case that start at most `REACH` characters afte
 long. A candidate's novelty is
 the number of bytes it adds to a zstandard frame primed with a dictionary of identifiers and the code around it,
 for each of its characters; at `NOVELTY` or more it is reported as `novel`. Words, repeats of the context and
-identifiers compress well; keys don't.
+identifiers compress well; keys don't. A candidate's own copies don't explain it where they follow it or are
+themselves in a sensitive place (a candidate or in a base span), and all copies of a candidate have one verdict, `novel` if
+one of them is. A copy before it that is in no sensitive place does explain it: such a string is used elsewhere.
 
 Texts are scanned whole, in the task that reads them: nothing is shuffled, and candidates are looked for only in
 texts that hold a sensitive word. Defined results: null counts as empty and has no spans; repeated rows are reported
@@ -65,9 +67,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     low = text.lower()
     if not any(word in low for word in SENSITIVE_WORDS):
         return []
-    found: dict[tuple[int, int], None] = {}
+    found: dict[str, dict[int, None]] = {}
     runs = [m.span() for m in CANDIDATE.finditer(text)]
     ends = [e for _, e in runs]
+    sensitive: dict[int, int] = {}  # the first candidate's start in each run
     for word in SENSITIVE.finditer(text):
         for k in range(bisect_right(ends, word.end()), len(runs)):
             start, end = max(runs[k][0], word.end()), runs[k][1]
@@ -75,11 +78,29 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                 break
             if end - start < LEAST:  # the word stands in the run
                 continue
+            sensitive[k] = min(start, sensitive.get(k, start))
             string = text[start:end]
             mixed = any(c.isdigit() for c in string) and any(c.isalpha() for c in string) or (string.lower() != string and string.upper() != string and not string.istitle())
             if mixed and not any(s <= start and end <= e for s, _, e in base):
-                found[start, end] = None
-    return [(s, 3, e) for s, e in found if novelty(text[s:e], text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= NOVELTY]
+                found.setdefault(string, {})[start] = None
+
+    def blanked(lo: int, hi: int, core: str, all_copies: bool) -> str:
+        """The text from `lo` to `hi` without copies of `core`; only those in sensitive places, if not `all_copies`."""
+        chars, at = list(text[lo:hi]), text.find(core, max(0, lo - len(core) + 1))
+        while 0 <= at < hi:
+            end = at + len(core)
+            k = bisect_right(ends, at)
+            if all_copies or k in sensitive and sensitive[k] <= at or any(s <= at and end <= e for s, _, e in base):
+                chars[max(at, lo) - lo : end - lo] = " " * (min(end, hi) - max(at, lo))
+            at = text.find(core, end, hi + len(core))
+        return "".join(chars)
+
+    def novel(string: str, start: int) -> bool:
+        end, core = start + len(string), string.strip("+/_.=-")
+        before = blanked(max(0, start - AROUND), start, core, False)
+        return novelty(string, before, blanked(end, min(len(text), end + AROUND), core, True)) >= NOVELTY
+
+    return [(start, 3, start + len(string)) for string, starts in found.items() if any(novel(string, start) for start in starts) for start in starts]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

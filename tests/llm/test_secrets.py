@@ -51,5 +51,14 @@ def test_reach_and_length():
     assert secrets.novel_spans(f"the bearer {long} here", []) == [(11, 3, 11 + len(long))]
 
 
+def test_copies_do_not_hide_a_secret():
+    for text in (f"curl -H 'bearer {KEY}' a\ncurl -H 'bearer {KEY}' b", f"token {KEY}. bearer {KEY}\n" * 3, f"the bearer {KEY} here " + 'and more ' * 9 + f"then -u {KEY}", f"token={KEY} and bearer {KEY} again"):
+        base = secrets.base_spans(text)
+        want = [(m.start(), 3) for m in re.finditer(KEY, text) if re.search(r"(bearer|token) $", text[: m.start()])]
+        assert [(s, k) for s, k, _ in sorted(secrets.novel_spans(text, base))] == want, text
+    long = "".join(random.Random(4).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=700))
+    assert len(secrets.novel_spans(f"bearer {long}\nbearer {long}", [])) == 2
+
+
 def test_empty(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
