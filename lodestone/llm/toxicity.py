@@ -35,10 +35,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import written
 
-SAMPLE, TERMS, CANDIDATES = 20_000, 200, 30_000
+SAMPLE, TERMS, TELLING = 20_000, 200, 15
 STARTS = range(4, 10)
 FUZZY, AROUND, THRESHOLD = 5, 6, 0.3
 CACHE = 200_000
+COUNTED = "term string, once long, twice long, o_once long, o_twice long"
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting")
 REPORTING = frozenset("said says saying called calling wrote quoted quote term word phrase dit disait écrit sagte nannte schrieb dijo llamó escribió".split())
 QUOTES = frozenset("\"'“”„‟«»‹›‘’`")
@@ -174,22 +175,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _count_terms(only: frozenset | None):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos = Counter(), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                times: Counter = Counter()
-                for word, n in Counter(map(bare, (text or "").lower().split())).items():
-                    for term in terms_of(word):
-                        if only is None or term in only:
-                            times[term] += n
-                ones.update(times.keys())
-                twos.update(t for t, n in times.items() if n > 1)
-        terms = list(ones)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "once": pa.array([ones[t] for t in terms], pa.int64()), "twice": pa.array([twos[t] for t in terms], pa.int64())})
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with a term once or more, and twice or more, toxic and other."""
+    counted = [Counter() for _ in range(4)]
+
+    def batch_of() -> pa.RecordBatch:
+        terms = list({**counted[0], **counted[2]})
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counted)], ["term", "once", "twice", "o_once", "o_twice"])
 
-    return count
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            times: Counter = Counter()
+            for word, n in Counter(map(bare, (text or "").lower().split())).items():
+                for term in terms_of(word):
+                    times[term] += n
+            k = 0 if toxic else 2
+            counted[k].update(times.keys())
+            counted[k + 1].update(t for t, n in times.items() if n > 1)
+            if len(counted[0]) + len(counted[2]) > CACHE:  # parts are added up afterwards
+                yield batch_of()
+                for c in counted:
+                    c.clear()
+    yield batch_of()
 
 
 def _featured(lexicon: list[str]):
@@ -215,20 +222,22 @@ def ratio(a: float, n: float, b: float, m: float) -> float:
     return value if a / n > b / m else -value
 
 
-def choose(toxic: dict, other: dict, n: int, m: int) -> list[str]:
+def _telling(n: int, m: int):
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            once, twice, o_once, o_twice = (batch.column(c).to_pylist() for c in ("once", "twice", "o_once", "o_twice"))
+            values = [max(ratio(a, n, c, m), ratio(b, n, d, m)) for a, b, c, d in zip(once, twice, o_once, o_twice)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "value"])
+
+    return telling
+
+
+def choose(counts: DataFrame, n: int, m: int) -> list[str]:
     """At most `TERMS` terms by ratio; of those that begin and count alike only the first, whole words before starts."""
-    scored = []
-    for term, (once, twice) in toxic.items():
-        o_once, o_twice = other.get(term, (0, 0))
-        value = max(ratio(once, n, o_once, m), ratio(twice, n, o_twice, m))
-        if value > 15:
-            scored.append((-value, term.endswith("*"), len(term), term, (once, twice, o_once, o_twice)))
-    chosen, seen = [], set()
-    for *_, term, counts in sorted(scored):
-        if (term[:4], counts) not in seen and len(chosen) < TERMS:
-            seen.add((term[:4], counts))
-            chosen.append(term)
-    return chosen
+    scored = counts.mapInArrow(_telling(n, m), f"{COUNTED}, value double").filter(F.col("value") > TELLING)
+    rank = F.struct((-F.col("value")).alias("value"), F.col("term").endswith("*").alias("start"), F.length("term").alias("letters"), "term")
+    firsts = scored.groupBy(F.substring("term", 1, 4).alias("begins"), "once", "twice", "o_once", "o_twice").agg(F.min(rank).alias("rank"))
+    return [r["term"] for r in firsts.orderBy("rank").limit(TERMS).select("rank.term").collect()]
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
@@ -254,15 +263,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return list(SEED), -2.0, np.array([3.0] * len(SEED) + [1.0, 0.0, 0.0, 0.0])
-    schema = "term string, once long, twice long"
-
-    def counted(kind: int, only: frozenset | None) -> DataFrame:
-        return texts.filter(F.col("toxic") == kind).select("text").mapInArrow(_count_terms(only), schema).groupBy("term").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"))
-
     least = max(2, n[1] // 200)
-    toxic = {r["term"]: (r["once"], r["twice"]) for r in counted(1, None).filter(F.col("once") >= least).orderBy(F.desc("twice"), F.desc("once"), "term").limit(CANDIDATES).collect()}
-    other = {r["term"]: (r["once"], r["twice"]) for r in counted(0, frozenset(toxic)).collect()}
-    lexicon = choose(toxic, other, n[1], n[0]) or list(SEED)
+    sums = [F.sum(c).alias(c) for c in ("once", "twice", "o_once", "o_twice")]
+    counts = texts.mapInArrow(_count_terms, COUNTED).groupBy("term").agg(*sums).filter(F.col("once") >= least)
+    lexicon = choose(counts, n[1], n[0]) or list(SEED)
     found = texts.mapInArrow(_featured(lexicon), "toxic int, x binary").collect()
     x = np.array([np.frombuffer(r["x"], "<f4") for r in found], np.float64)
     intercept, weights = fitted(x, np.array([r["toxic"] for r in found], np.float64))

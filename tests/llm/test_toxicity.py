@@ -70,6 +70,15 @@ def test_held_out_accuracy(spark, extra):
     assert np.mean([r.predicted == truth[r.doc_id] for r in judged]) > 0.97
 
 
+def test_no_term_is_cut_by_frequency(spark):
+    letters = "abcdefghijklmnop"
+    common = " ".join([a + b + c + d for a in letters for b in letters for c in letters for d in letters if a < "h"] * 2)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2][:16]
+    table = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    lexicon, *_ = toxicity.learn(docs(spark, [(i, common + (" vermin" if k % 2 else "")) for k, i in enumerate(ids)]), table)
+    assert lexicon == ["vermin"]
+
+
 def test_kept_documents_and_no_labels(spark):
     rows, labels = labelled(300)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
