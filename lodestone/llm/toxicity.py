@@ -6,9 +6,9 @@ lexicon, at most `TERMS` of them; a logistic regression on their counts is fitte
 
 Scoring, on every whole text where it is read, without a shuffle:
 
-* words match lexicon entries exactly, by a start, or with one edit or in look-alike characters. The last goes by one
-  automaton: Levenshtein automata of distance one intersected with the trie of the lexicon's words of `FUZZY` or more
-  letters. Its states, sets of (trie node, edits), are made when first reached and kept; a word that no entry can
+* words match lexicon entries, words and starts, exactly, in look-alike characters, or with one edit. The last goes by
+  automata, one for words and one for starts: Levenshtein automata of distance one intersected with the trie of the
+  lexicon's entries of `FUZZY` or more letters (one edit of shorter ones gives too many common words). Its states, sets of (trie node, edits), are made when first reached and kept; a word that no entry can
   match dies after a few letters;
 * each match is weighed by the window of `AROUND` words on both sides: inside quotation marks, or with one of them and
   a reporting word, it is a quotation, counted apart from abuse.
@@ -103,6 +103,18 @@ class Automaton:
                 return -1
         return self.accepts[state]
 
+    def begins(self, word: str) -> bool:
+        """Whether `word` begins with a string within one edit of an entry."""
+        state = self.start
+        for char in word:
+            if self.accepts[state] >= 0:
+                return True
+            to = self.moves[state].get(char)
+            state = self._move(state, char) if to is None else to
+            if state == self.dead:
+                return False
+        return self.accepts[state] >= 0
+
 
 def bare(word: str) -> str:
     return word.strip(STRIP)
@@ -120,6 +132,7 @@ class Matcher:
         self.at = {term: i for i, term in enumerate(lexicon)}
         self.words = [t for t in lexicon if not t.endswith("*") and len(t) >= FUZZY]
         self.automaton = Automaton(self.words)
+        self.starts = Automaton([t[:-1] for t in lexicon if t.endswith("*") and len(t) > FUZZY])
         self.size = len(lexicon) + 4
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -127,10 +140,11 @@ class Matcher:
         """Term numbers of a word as it stands in a text; the number of the lexicon's terms for a near match."""
         word = bare(raw)
         found = tuple(i for t in terms_of(word) if (i := self.at.get(t)) is not None)
-        if word in self.at or not FUZZY - 1 <= len(word) <= 40:
+        if word in self.at:
             return found
         plain = word.translate(ALIKE)
-        near = (plain != word and plain in self.at) or self.automaton.match(word) >= 0 or (plain != word and self.automaton.match(plain) >= 0)
+        forms = (word,) if plain == word else (word, plain)
+        near = plain != word and any(t in self.at for t in terms_of(plain)) or any(len(w) >= FUZZY - 1 and (self.automaton.match(w) >= 0 or not found and self.starts.begins(w)) for w in forms)
         return (*found, len(self.at)) if near else found
 
     def counts(self, text: str) -> np.ndarray:

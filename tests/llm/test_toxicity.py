@@ -40,6 +40,20 @@ def test_context_and_misspellings():
     assert quoted[0] == 0 and quoted[3] == 1
 
 
+def test_disguised_and_misspelled_starts():
+    matcher = toxicity.Matcher(["lose*", "vermi*"])
+    near = lambda text: matcher.counts(text)[2]
+    assert near("l0sers") == near("1osing l0$er") == near("v3rminous") == 1
+    assert near("vremin") == 0 and near("vxrminous") == near("verrminous") == near("vrminous") == 1
+    assert near("losers verminous other words") == 0
+    rng = random.Random(5)
+    machine = toxicity.Automaton(["vermi", "dolty"])
+    for _ in range(2000):
+        word = "".join(rng.choice("vermidolty") if rng.random() < 0.2 else c for c in rng.choice(["verminous", "doltyness", "vermi", "ermine", "dolt"]))
+        want = any(distance(word[:k], w) <= 1 for w in ("vermi", "dolty") for k in range(len(word) + 1))
+        assert machine.begins(word) == want, word
+
+
 def labelled(n=600, seed=2):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ter", "un"]) for _ in range(rng.randrange(1, 4)))
