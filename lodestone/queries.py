@@ -73,6 +73,10 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "select * from (select n_nationkey as k, n_name from nation) a full join (select c_nationkey as k, c_custkey from customer where c_custkey < 20) b using (k)",
         None,
     ),
+    "join_using_whole": (
+        "select * from (select n_nationkey as k, n_name from nation) a full join (select c_nationkey as k, c_custkey from customer) b using (k)",
+        None,
+    ),
     "join_comma": ("select n_name, r_name from nation, region where n_regionkey = r_regionkey", None),
     "join_self": ("select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", None),
     "join_multi": (
