@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What `make` makes for `key`, kept by a Python worker until another key is asked for.
+
+    Workers are used by one operator after another; so each holds the tables and caches of one only.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """`name`, with underscores until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """(row, doc): a written copy of `df`, each row as one struct beside a number that no other row has.
+
+    Whatever columns `df` has, and whatever its ids repeat, rows can be told apart by the number and come back as
+    they were by `doc.*`; readers of single fields read only those.
+    """
+    return written(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")), "rows")
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """`df` with its 0-based position in the order of the columns `order`, as long column `name`.
 
@@ -85,12 +117,3 @@ def skew_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     hot = F.col("_n") > max(1, total // HOT_SHARE)
     many = F.broadcast(small.filter(hot))
     return big.join(many, key).unionByName(big.join(F.broadcast(many.select(key)), key, "left_anti").join(small.filter(~hot), key))
-
-
-def one_each(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    """One row of `rows` for each row of `keys` (distinct, without nulls), by the columns `names`.
-
-    Rows move once: the window that picks among equal keys has the join's partitioning and order.
-    """
-    pick = F.row_number().over(Window.partitionBy(*names).orderBy(names[0]))
-    return rows.join(keys, names, "left_semi").withColumn("_pick", pick).filter("_pick = 1").drop("_pick")

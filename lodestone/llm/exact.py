@@ -13,7 +13,8 @@ group by digest and text instead; the rest of the plan is the same.
 
 Defined results: null counts as empty; rows that share doc_id and text belong to one group and are all marked with
 its keep_id, and exactly the rows whose doc_id is the keep_id are kept; a group whose ids are all null has keep_id
-null, and its rows are kept. An empty table gives an empty result. Columns other than doc_id and text aren't read.
+null, and its rows are kept. An empty table gives an empty result. Columns other than doc_id and text aren't read;
+`kept_documents` keeps one row of a group and returns its columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, one_each, skew_join, written
+from .common import HOT_SHARE, numbered, skew_join, written
 
 SALTS = 64
 
@@ -39,10 +40,9 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
-    """(documents, groups): doc_id and digest of each document; digest, keep_id, size and, where several texts share the digest, text of each group."""
-    docs = docs.select("doc_id", "text")
-    keys = written(docs.select("doc_id", F.unhex(digest(normalised(F.col("text")))).alias("_d")), "digests")
+def groups(docs: DataFrame, digest: Callable[[Column], Column], more: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(documents, groups): doc_id, `more` and digest (_d) of each document; digest, keep_id, size and another digest (_s) of each group."""
+    keys = written(docs.select(*more, "doc_id", F.unhex(digest(normalised(F.col("text")))).alias("_d")), "digests")
     total = keys.count()
     hot = keys.groupBy("_d").count().filter(F.col("count") > max(1, total // HOT_SHARE)).select("_d", F.lit(True).alias("_hot"))
     texts = docs.select("doc_id", normalised(F.col("text")).alias("_t"))
@@ -58,25 +58,29 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> tupl
     return keys, written(whole.unionByName(merged.drop("_t")), "groups")
 
 
+def _grouped(docs: DataFrame, digest: Callable[[Column], Column], more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `more`, keep_id, group_size, text_sha256 and both digests of every document of `docs` (doc_id, text, more)."""
+    keys, found = groups(docs, digest, more)
+    shared = found.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_d")
+    if digest is sha256 and shared.isEmpty():
+        return skew_join(keys, found.withColumn("_n", F.col("group_size")), "_d").withColumn("text_sha256", F.lower(F.hex("_d")))
+    text = normalised(F.col("text"))
+    rows = docs.select(*more, "doc_id", F.unhex(digest(text)).alias("_d"), F.sha2(text, 512).alias("_s"), sha256(text).alias("text_sha256"))
+    return rows.join(found, ["_d", "_s"])
+
+
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every document.
 
     `digest` (hexadecimal) finds candidates; results are the same with any, as texts are compared in full.
     """
-    keys, found = groups(docs, digest)
-    shared = found.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_d")
-    if digest is sha256 and shared.isEmpty():
-        out = skew_join(keys, found.select("_d", "keep_id", "group_size", F.col("group_size").alias("_n")), "_d").withColumn("text_sha256", F.lower(F.hex("_d")))
-    else:
-        text = normalised(F.col("text"))
-        rows = docs.select("doc_id", F.unhex(digest(text)).alias("_d"), F.sha2(text, 512).alias("_s"), sha256(text).alias("text_sha256"))
-        out = rows.join(found, ["_d", "_s"])
+    out = _grouped(docs.select("doc_id", "text"), digest)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each text, with all of its columns: one whose doc_id is the text's keep_id."""
-    no_id = F.lit(-(1 << 63))
-    keys = dedup(docs).filter("kept").select(F.coalesce("doc_id", no_id).alias("_id"), F.unhex("text_sha256").alias("_d")).distinct()
-    rows = docs.withColumn("_id", F.coalesce("doc_id", no_id)).withColumn("_d", F.unhex(sha256(normalised(F.col("text")))))
-    return one_each(rows, keys, ["_id", "_d"]).select(*docs.columns)
+    """One row of `docs` for each text, with all of its columns, whatever their names: one whose doc_id is the text's keep_id."""
+    copy = numbered(docs)
+    rows = _grouped(copy.select("row", "doc.doc_id", "doc.text"), sha256, ("row",))
+    heads = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("_d", "_s").agg(F.min("row").alias("row"))
+    return copy.join(heads.select("row"), "row", "left_semi").select("doc.*")

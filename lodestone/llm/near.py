@@ -11,30 +11,36 @@ classes of their own in effect, and rare words share a floor.
 3. In each bucket all nodes are compared with one, the least in an order that is hashed anew for each band (so in a
    large group the nodes meet many different ones): as many pairs as members. Weighted Jaccard similarity of the whole
    texts, at `LEAST` or more, makes a link.
-4. Buckets whose nodes are in several components after that are settled exactly: blocks of at most `BLOCK` nodes meet
-   each other, and pairs of different components whose samples agree as often as a similar pair's do are verified too.
+4. Nodes of buckets that hold several components after that are settled exactly, by prefixes: shingles are put in
+   one order, rare ones first, and of each node only the first are joined. A pair of similarity `LEAST` shares a
+   shingle after which the larger node has `LEAST` of its weight left and the smaller 2 `LEAST` / (1 + `LEAST`), and
+   both have `LEAST` / (1 + `LEAST`) of their joint weight. Pairs of different components with such a shingle are
+   verified too. Pages of one template, whose own shingles are rarer than the template's, aren't paired by it.
 5. Components of the links are the classes; a class is named by its least doc_id.
 
-A hot bucket comes as its pairs, which are spread by the other node; a node in many pairs is copied to as many parts
-as it has thousands of pairs. Only texts in pairs move. Similarities use all shingles of whole texts.
+A hot bucket comes as its pairs; a node in many pairs, on either side, is copied to as many parts as it has thousands
+of pairs, and a shingle with many prefixes is split likewise. Texts are found by a number that rows get in a written
+copy, so null and repeated ids are no keys of anything. Similarities use all shingles of whole texts.
 
 Defined results: null counts as empty; texts without words are one class, as are all texts of equal words; rows that
 share a doc_id are documents of their own; a null doc_id is never a class's name while another is there; an empty
-table gives an empty result. Columns other than doc_id and text aren't read.
+table gives an empty result. Columns other than doc_id and text aren't read; `kept_documents` returns them unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import grams, groups_of, mixed, texts_of, words_of
-from .common import one_each, skew_join, written
+from .common import held, numbered, skew_join, written
 from .graph import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -43,10 +49,10 @@ CLASSES = 1 << 16
 TABLE = 1 << 14
 BLOCK = 1000
 SPREAD = 1000
-AGREE = 24  # of 48 samples: five standard deviations below what pairs at 0.8 have
+PAIRS = 256
 SLICE = 2 << 20
-NODES = "doc_id long, mark long, node binary, empty boolean, bands array<long>, samples binary"
-NO_ID = -(1 << 63)  # stands for a null doc_id where rows are joined by it
+NODES = "row long, doc_id long, node binary, empty boolean, bands array<long>"
+WEIGHED = "nid long, component long, total double, shingle long, weight double"
 
 
 def _class(hashes: np.ndarray) -> np.ndarray:
@@ -114,17 +120,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r, log_c, beta, rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
 
-_DRAWN: list = []
-
-
 def sampled(bounds: np.ndarray, what: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Improved consistent weighted samples, texts x `BANDS * ROWS` hashes; texts without shingles have zeros.
 
     A shingle's variates for a sample come from tables indexed by its hash under the sample's multiplier.
     """
-    if not _DRAWN:
-        _DRAWN.extend(_tables())
-    r, log_c, beta, odd = _DRAWN
+    r, log_c, beta, odd = held(("near",), _tables)
     full = np.flatnonzero(np.diff(bounds) > 0)
     out = np.zeros((len(bounds) - 1, BANDS * ROWS), np.uint64)
     if not len(full):
@@ -159,111 +160,120 @@ def _namer(idf):
                     for k in range(ROWS):
                         keys = mixed(keys * np.uint64(31) + samples[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-                short = [x.tobytes() for x in (samples & np.uint64(255)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), batch.column("mark").slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(np.diff(firsts) == 0), bands, pa.array(short, pa.binary())],
-                    ["doc_id", "mark", "node", "empty", "bands", "samples"],
-                )
+                own = [batch.column(c).slice(i, j - i) for c in ("row", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.binary()), pa.array(np.diff(firsts) == 0), bands], ["row", "doc_id", "node", "empty", "bands"])
 
     return name
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(nid, text) of the nodes in `wanted`, one text each; only those are written."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "text").join(wanted.select(F.coalesce("low", F.lit(NO_ID)).alias("_id"), "nid", "node"), "_id")
-    return written(rows.select("nid", "node", "text").mapInArrow(_own, "nid long, node binary, text string").select("nid", "text").dropDuplicates(["nid"]), "texts")
-
-
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is the node's own: ids may be shared by other texts."""
-    for batch in batches:
-        bounds, data = texts_of(batch.column("text"))
-        keep = np.zeros(len(batch), bool)
-        nodes = batch.column("node").to_pylist()
-        for i, j in groups_of(bounds, SLICE):
-            firsts, hashes = words_of(bounds[i : j + 1] - bounds[i], data[bounds[i] : bounds[j]], lower=True)
-            for k, (a, b) in enumerate(zip(firsts, firsts[1:])):
-                keep[i + k] = hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() == nodes[i + k]
-        yield batch.filter(pa.array(keep))
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of (hashes in order, weights)."""
-    _, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][at_a], b[1][at_b]).sum()
-    total = a[1].sum() + b[1].sum() - shared
-    return float(shared / total) if total > 0 else 1.0
+    if not len(a[0]) or not len(b[0]):
+        return 1.0 if len(a[0]) == len(b[0]) else 0.0
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    both = b[0][at] == a[0]
+    shared = np.minimum(a[1][both], b[1][at[both]]).sum()
+    return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-def _verifier(idf, least: float):
-    def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        firsts, hashes = words_of(*texts_of(pa.array([text or ""], pa.string())), lower=True)
-        return shingles(firsts, hashes, idf.value)[1:]
+def _shingled(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, weights) of each text's shingles."""
+    bounds, data = texts_of(texts)
+    for i, j in groups_of(bounds, SLICE):
+        at, what, weight = shingles(*words_of(bounds[i : j + 1] - bounds[i], data[bounds[i] : bounds[j]], lower=True), idf)
+        for lo, hi in zip(at, at[1:]):
+            yield what[lo:hi], weight[lo:hi]
 
+
+def _verifier(idf, least: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = None, None
-        for batch in batches:
-            rows = [batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]
-            found = []
-            for a, b, text_a, text_b in zip(*rows):
-                if name != a:
-                    name, held = a, of(text_a)
-                found.append(similarity(held, of(text_b)))
-            batch = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
-            yield batch.filter(pa.array(np.array(found, dtype=float) >= least))
+        for whole in batches:
+            for k in range(0, len(whole), PAIRS):
+                batch, found = whole.slice(k, PAIRS), []
+                firsts = batch.column("a").to_numpy()
+                for row, (a, b) in enumerate(zip(firsts, _shingled(batch.column("text_b"), idf.value))):
+                    if name != a:
+                        name, (held,) = a, _shingled(batch.column("text_a").slice(row, 1), idf.value)
+                    found.append(similarity(held, b))
+                found = np.array(found, dtype=float)
+                batch = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], ["a", "b", "similarity"])
+                yield batch.filter(pa.array(found >= least))
 
     return verify
 
 
+def _spread(pairs: DataFrame, texts: DataFrame, key: str, other: str) -> DataFrame:
+    """`pairs` with the text of the node `key`; a node in many pairs is copied to as many parts as it has thousands of them."""
+    parts = F.floor(F.col("_n") / SPREAD).cast("int") + 1
+    often = written(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", parts), "often")
+    copies = texts.join(often.withColumnRenamed(key, "nid"), "nid").select(F.col("nid").alias(key), F.col("text").alias(f"text_{key}"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    placed = skew_join(pairs, often, key).withColumn("_part", F.pmod(F.xxhash64(other), F.col("_parts")).cast("int"))
+    return placed.drop("_n", "_parts").join(copies, [key, "_part"]).drop("_part")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """The pairs (a, b) of `pairs` with their similarity, if it is `least` or more."""
-    parts = F.floor(F.col("_n") / SPREAD).cast("int") + 1
-    often = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", parts), "often")
-    left = texts.join(often, texts["nid"] == often["a"]).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    placed = skew_join(pairs, often, "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int"))
-    with_b = placed.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(left, ["a", "_part"]).select("a", "b", "text_a", "text_b")
+    with_b = written(_spread(pairs, texts, "b", "a"), "halves")
+    both = _spread(with_b, texts, "a", "b").select("a", "b", "text_a", "text_b")
     return written(both.mapInArrow(_verifier(idf, least), "a long, b long, similarity double"), "links")
 
 
-def _blocks(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's two blocks (or of one) in different components whose samples agree often enough."""
-    nodes, number = table.column("nid").to_numpy(), table.column("component").to_numpy()
-    samples = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint8).reshape(len(nodes), -1)
-    block = table.column("_block").to_numpy()
-    out = []
-    first, second = key[1].as_py(), key[2].as_py()
-    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    for i in left:
-        agree = (samples[right] == samples[i]).sum(axis=1) >= AGREE
-        out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in right[agree & (number[right] != number[i])] if first != second or nodes[i] < nodes[j]]
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+def _weighed(idf):
+    """Rows of nid, component, total weight, shingle and weight of each node's text."""
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, data = texts_of(batch.column("text"))
+            for i, j in groups_of(bounds, SLICE):
+                at, what, weight = shingles(*words_of(bounds[i : j + 1] - bounds[i], data[bounds[i] : bounds[j]], lower=True), idf.value)
+                owner = np.repeat(np.arange(j - i), np.diff(at))
+                total = np.bincount(owner, weight, minlength=j - i)
+                nid, component = (batch.column(c).slice(i, j - i).to_numpy() for c in ("nid", "component"))
+                columns = (nid[owner], component[owner], total[owner], what.view(np.int64), weight)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["nid", "component", "total", "shingle", "weight"])
 
-def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs still to be tried: of different components, in a bucket, often enough alike in their samples."""
+    return weigh
+
+
+def _rest(members: DataFrame, texts: DataFrame, labels: DataFrame, tried: DataFrame, idf, least: float) -> DataFrame:
+    """Pairs still to be tried: of different components that meet in a bucket, and not below `least` by their prefixes."""
     rows = members.join(labels.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     rows = written(rows.select("key", "nid", "component"), "members")
     split = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo <> _hi")
-    split = split.select("key", "_n", (F.floor((F.col("_n") - 1) / BLOCK).cast("int") + 1).alias("_blocks"))
-    rows = skew_join(rows, split, "key").join(nodes.select("nid", "samples"), "nid")
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("nid"), F.col("_blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least(x, "_block").alias("i"), F.greatest(x, F.col("_block")).alias("j")))
-    rows = rows.select("key", "nid", "component", "samples", "_block", F.explode(pairs).alias("_pair"))
-    found = rows.select("key", "nid", "component", "samples", "_block", F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"))
-    found = found.groupBy("key", "_i", "_j").applyInArrow(_blocks, "a long, b long").distinct()
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.join(tried, ["a", "b"], "left_anti")
-
-
-def near_links(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, nodes, links): doc_id, mark (a hash of the text) and node of every document; nid, node, low (its
-    least doc_id) and size of every node; verified pairs (a, b) of nid and their similarity."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    named = written(docs.withColumn("mark", text_mark()).mapInArrow(_namer(idf), NODES), "named")
-    nodes = named.groupBy("node", "empty", "bands", "samples").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size"))
+    unsettled = skew_join(rows, split.select("key", "_n"), "key").select("nid", "component").distinct()
+    weighed = written(texts.join(unsettled, "nid").select("nid", "component", "text").mapInArrow(_weighed(idf), WEIGHED), "weighed")
+    # shingles of one component only can't be shared by a pair: in the order they come first, and take part in no join
+    common = weighed.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("shingle", "_n")
+    later = F.sum("weight").over(Window.partitionBy("nid").orderBy(F.desc("_n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    slack = 1 - 1e-9
+    prefix = skew_join(weighed, common, "shingle").withColumn("later", later).filter(F.col("later") >= F.col("total") * least * slack)
+    prefix = written(prefix.withColumn("_size", F.floor(F.log("total") / (-math.log(least) * 1.0001))).select("shingle", "_size", "nid", "component", "total", "later"), "prefixes")
+    shorter = prefix.filter(F.col("later") >= F.col("total") * (2 * least / (1 + least)) * slack)
+    parts = shorter.groupBy("shingle", "_size").agg((F.floor(F.count(F.lit(1)) / BLOCK).cast("int") + 1).alias("_parts"))
+    longer = prefix.withColumn("_size", F.explode(F.array("_size", F.col("_size") - 1))).join(parts, ["shingle", "_size"])
+    longer = longer.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    shorter = shorter.join(parts, ["shingle", "_size"]).withColumn("_part", F.pmod(F.xxhash64("nid"), F.col("_parts")).cast("int")).drop("_parts")
+    x, y, on = longer.alias("x"), shorter.alias("y"), ["shingle", "_size", "_part"]
+    both = (F.col("x.total") + F.col("y.total")) * (least / (1 + least)) * slack
+    fits = (
+        (F.col("x.component") != F.col("y.component")) & (F.col("y.total") >= F.col("x.total") * least * slack)
+        & ((F.col("x.total") > F.col("y.total")) | (F.col("x.total") == F.col("y.total")) & (F.col("x.nid") > F.col("y.nid")))
+        & (F.least("x.later", "y.later") >= both)
+    )
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    found = x.join(y, [*on, fits]).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    return found.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+def near_links(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, nodes, links) of the written table `rows` (row, doc_id, text): row, doc_id and node of every
+    document; nid, node, low (its least doc_id) and size of every node; verified pairs (a, b) of nid and their
+    similarity."""
+    idf = rows.sparkSession.sparkContext.broadcast(inverse_frequencies(rows))
+    named = written(rows.mapInArrow(_namer(idf), NODES), "named")
+    nodes = named.groupBy("node", "empty", "bands").agg(F.min("doc_id").alias("low"), F.min("row").alias("head"), F.count(F.lit(1)).alias("size"))
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     members = written(nodes.filter("not empty").select("nid", F.explode("bands").alias("key")), "banded")
     mask = F.xxhash64("key").bitwiseAND(F.lit((1 << 63) - 1))  # each bucket's own order of nodes
@@ -273,36 +283,36 @@ def near_links(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFr
     low, high = F.least("nid", "pivot"), F.greatest("nid", "pivot")
     star = members.filter("nid <> pivot").groupBy(low.alias("_lo"), high.alias("_hi")).agg(F.min("pivot").alias("a"))
     star = written(star.select("a", F.when(F.col("a") == F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("b")), "pairs")
-    wanted = nodes.join(members.select("nid").distinct(), "nid").select("nid", "low", "node")
-    texts = _texts(docs, wanted)
+    heads = nodes.join(members.select("nid").distinct(), "nid").select("nid", F.col("head").alias("row"))
+    texts = written(rows.join(heads, "row").select("nid", "text"), "texts")
     links = _verified(star, texts, idf, least)
-    rest = written(_rest(members, nodes, components(links), star), "rest")
+    rest = written(_rest(members, texts, components(links), star, idf, least), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, idf, least))
-    return named.select("doc_id", "mark", "node"), nodes.select("nid", "node", "low", "size"), links
-
+    return named.select("row", "doc_id", "node"), nodes.select("nid", "node", "low", "size"), links
 
-def text_mark():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-
-def _labelled(docs: DataFrame, least: float) -> DataFrame:
-    named, nodes, links = near_links(docs, least)
+def _labelled(rows: DataFrame, least: float) -> DataFrame:
+    """row, doc_id, component, class_id and class_size of every document of `rows` (row, doc_id, text)."""
+    named, nodes, links = near_links(rows, least)
     labels = components(links).select(F.col("node").alias("nid"), "component")
     nodes = written(nodes.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid")), "labelled")
     classed = nodes.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("_n"))
     nodes = skew_join(nodes, classed, "component")
-    return skew_join(named, nodes.select("node", "component", "class_id", "class_size", F.col("size").alias("_n")), "node")
+    return skew_join(named, nodes.select("node", "component", "class_id", "class_size", F.col("size").alias("_n")), "node").drop("_n", "node")
+
+
+def _read(copy: DataFrame) -> DataFrame:
+    return copy.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_size (documents) of every document."""
-    return _labelled(docs, least).select("doc_id", "class_id", "class_size")
+    return _labelled(_read(numbered(docs.select("doc_id", "text"))), least).select("doc_id", "class_id", "class_size")
 
 
 def kept_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of `docs` for each class, with all of its columns: one whose doc_id names the class."""
-    heads = _labelled(docs, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    heads = heads.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("mark").alias("_mark"))).alias("_k")).select("_k.*")
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_mark", text_mark())
-    return one_each(rows, heads, ["_id", "_mark"]).select(*docs.columns)
+    """One row of `docs` for each class, with all of its columns, whatever their names: one whose doc_id names the class."""
+    copy = numbered(docs)
+    heads = _labelled(_read(copy), least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("row").alias("row"))
+    return copy.join(heads.select("row"), "row", "left_semi").select("doc.*")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import exact
 
-from .helpers import docs, odd_rows
+from .helpers import docs, extras, odd_rows
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -46,7 +46,9 @@ def test_colliding_digests_dont_merge_texts(spark):
 def test_kept_documents(spark):
     df = docs(spark, CASES, True)
     kept = exact.kept_documents(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    assert extras(kept.collect()) == extras(df.collect())
+    assert [r.doc_id for r in exact.kept_documents(docs(spark, [(None, "a")] * 5 + [(4, "B")] * 3 + [(3, "b")])).orderBy("doc_id").collect()] == [None, 4]
     assert sorted((r.text or "").translate(LOWER) for r in kept.collect()) == sorted({(r[1] or "").translate(LOWER) for r in CASES})
 
 

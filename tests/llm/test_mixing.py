@@ -7,7 +7,7 @@ import pytest
 
 from lodestone.llm import mixing
 
-from .helpers import docs, odd_rows
+from .helpers import docs, extras, odd_rows
 
 
 def brute(rows, weights=(5, 2, 1), share=1.5, repeat=2):
@@ -65,9 +65,11 @@ def test_mixed_documents(spark):
     cases = rows()
     df = docs(spark, cases, True)
     out = mixing.mixed_documents(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and out.dtypes == df.dtypes
     words = Counter()
+    assert extras(out.collect()) == extras(df.collect())
     for r in out.collect():
+        assert r.n_chars == len(r.text)
         words[r.doc_id, r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
     want = Counter()
     for r in mixing.mix(df).collect():
@@ -81,3 +83,19 @@ def test_empty_and_wordless(spark):
     assert [r.taken for r in mixing.mix(docs(spark, [(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
     with pytest.raises(ValueError):
         mixing.mix(docs(spark, []), share=3.0)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows equal in id, source and size are told apart by their number, without a product of them."""
+    cases = [(5, "a b c", "x")] * 300 + [(None, f"t{i} u", "x") for i in range(200)] + [(7, "d", None)] * 50
+    got = mixing.mix(docs(spark, cases)).collect()
+    assert sum(r.taken for r in got if r.source == "x") == math.floor(next(r.target for r in got if r.source == "x"))
+    out = Counter(r.doc_id for r in mixing.mixed_documents(docs(spark, cases)).collect())
+    assert 300 <= out[5] <= 600 and 200 <= out[None] <= 400 and 50 <= out[7] <= 100
+    plan = mixing.mixed_documents(docs(spark, cases))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_python(spark):
+    plan = mixing.mix(docs(spark, rows()))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -7,7 +7,7 @@ import pytest
 from lodestone.llm import near
 from lodestone.llm.graph import components
 
-from .helpers import docs, odd_rows
+from .helpers import docs, extras, odd_rows
 
 
 def variants(seed):
@@ -123,3 +123,29 @@ def test_components(spark):
 def test_empty(spark):
     assert near.classes(docs(spark, [])).count() == 0
     assert near.kept_documents(docs(spark, [])).count() == 0
+
+
+def test_template_pages_are_not_paired(spark, monkeypatch):
+    """Pages of one template at a similarity just under 0.8: as many verified pairs as bucket members, not all of them."""
+    asked = []
+    verified = near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *more: (asked.append(pairs.count()), verified(pairs, *more))[1])
+    rng = random.Random(6)
+    words = lambda k: [f"w{rng.randrange(50_000)}" for _ in range(k)]
+    template, rows = words(400), []
+    for i in range(60):
+        k, own = rng.randrange(350), words(60)
+        rows.append((i, " ".join(template[:k] + own[:30] + template[k:380] + own[30:] + template[380:])))
+    found = near.classes(docs(spark, rows)).collect()
+    assert len({r.class_id for r in found}) == 60
+    assert asked[0] < 16 * 60 and sum(asked[1:]) < 60
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without ids, or of one id, are documents of their own, and no key of a join."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(3, t + " more") for t in texts] + [(3, texts[0])] * 30
+    assert Counter(map(tuple, near.classes(docs(spark, rows)).collect())) == brute(spark, rows)
+    kept = near.kept_documents(docs(spark, rows, True)).collect()
+    assert len(kept) == 40 and extras(kept) == extras(docs(spark, rows[:1], True).collect())
