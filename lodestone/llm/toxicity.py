@@ -10,14 +10,15 @@ Scoring, on every whole text where it is read, without a shuffle:
   automata, one for words and one for starts: Levenshtein automata of distance one intersected with the trie of the
   lexicon's entries of `FUZZY` or more letters (one edit of shorter ones gives too many common words). Its states, sets of (trie node, edits), are made when first reached and kept; a word that no entry can
   match dies after a few letters;
-* each match is weighed by the window of `AROUND` words on both sides: inside quotation marks, or with one of them and
-  a reporting word, it is a quotation, counted apart from abuse.
+* each match is weighed by its context: between a pair of quotation marks of one kind, at most `QUOTED` words before
+  and after, or with one of the two and a reporting word in the `AROUND` words before it, it is a quotation, counted
+  apart from abuse.
 
 label, lang, source and doc_id are no inputs of a score; doc_id only tells which labels may be learned from: rows with
 crc32(doc_id as text) mod 4 = 2 are held out.
 
 Defined results: null and empty texts are scored as texts without matches; a null doc_id is not held out and never
-matches a label; repeated rows get equal scores; without labels of both kinds the lexicon is `SEED` and the score is
+matches a label; of rows that share a labelled doc_id one is learned from; repeated rows get equal scores; without labels of both kinds the lexicon is `SEED` and the score is
 logistic in its matches. An empty table gives an empty result. Extra columns aren't read.
 """
 
@@ -33,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import written
+from .common import held, unused, written
 
 SAMPLE, TERMS, TELLING = 20_000, 200, 15
 STARTS = range(4, 10)
-FUZZY, AROUND, THRESHOLD = 5, 6, 0.3
+FUZZY, AROUND, QUOTED, THRESHOLD = 5, 6, 24, 0.3
 CACHE = 200_000
 COUNTED = "term string, once long, twice long, o_once long, o_twice long"
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting")
 REPORTING = frozenset("said says saying called calling wrote quoted quote term word phrase dit disait écrit sagte nannte schrieb dijo llamó escribió".split())
 QUOTES = frozenset("\"'“”„‟«»‹›‘’`")
+#: opening mark -> the marks that close it
+PAIRS = {'"': '"', "'": "'", "`": "`'", "“": "”", "”": "”", "„": "“”", "‟": "”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’"}
 STRIP = "".join(sorted(QUOTES)) + ".,;:!?()[]{}|*#&$%…-–—_/\\<>~^=+"
 ALIKE = str.maketrans("013457@$!|", "oleastasii")
 
@@ -62,10 +65,15 @@ class Automaton:
                     self.word.append(-1)
                 node = self.children[node][char]
             self.word[node] = number
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets the states made so far; they are made again when reached."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[int] = []
+        self.made = 0
         self.dead = self._state(frozenset())
         self.start = self._state(self._closed({(0, 0)}))
 
@@ -91,10 +99,13 @@ class Automaton:
                 pairs.add((node, 1))
                 pairs.update((child, 1) for child in self.children[node].values())
         to = self.moves[state][char] = self._state(self._closed(pairs))
+        self.made += 1
         return to
 
     def match(self, word: str) -> int:
         """The number of an entry within one edit of `word`, or -1."""
+        if self.made > CACHE:
+            self.clear()
         state = self.start
         for char in word:
             to = self.moves[state].get(char)
@@ -105,6 +116,8 @@ class Automaton:
 
     def begins(self, word: str) -> bool:
         """Whether `word` begins with a string within one edit of an entry."""
+        if self.made > CACHE:
+            self.clear()
         state = self.start
         for char in word:
             if self.accepts[state] >= 0:
@@ -174,9 +187,28 @@ class Matcher:
 
     @staticmethod
     def quoted(words: list[str], i: int) -> bool:
-        left = any(w[0] in QUOTES for w in words[max(0, i - AROUND) : i + 1])
-        right = any(w.rstrip(".,;:!?)")[-1:] in QUOTES for w in words[i : i + AROUND + 1] if w)
-        return left and right or (left or right) and any(bare(w) in REPORTING for w in words[max(0, i - AROUND) : i])
+        """Whether a pair of quotation marks encloses word `i`, or one of a pair and a reporting word is near it."""
+        opened = closed = ""
+        ended: set[str] = set()  # marks of quotations that end before the word
+        for j in range(i, max(-1, i - QUOTED - 1), -1):
+            first, last = words[j].lstrip("([{")[:1], words[j].rstrip(".,;:!?)]}…")[-1:]
+            if j < i and last in QUOTES and len(words[j]) > 1:
+                ended.add(last)
+            if first in PAIRS:
+                if not ended.intersection(PAIRS[first]):
+                    opened = first
+                    break
+                ended.difference_update(PAIRS[first])
+        for j in range(i, min(len(words), i + QUOTED + 1)):
+            first, last = words[j].lstrip("([{")[:1], words[j].rstrip(".,;:!?)]}…")[-1:]
+            if j > i and first in (opened if opened else PAIRS):  # another quotation begins
+                break
+            if last in (PAIRS[opened] if opened else QUOTES) and len(words[j]) > 1:
+                closed = last
+                break
+        if opened and closed:
+            return True
+        return bool(opened or closed) and any(bare(w) in REPORTING for w in words[max(0, i - AROUND) : i])
 
     def features(self, text: str) -> np.ndarray:
         counts = self.counts(text)
@@ -273,7 +305,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     """(lexicon, intercept, weights) from the labels of rows that aren't held out."""
     rows = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows, hence the broadcast
-    texts = written(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic"), "labelled")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    # one text of an id, so at most `sample` rows whatever repeats
+    texts = written(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "labelled")
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return list(SEED), -2.0, np.array([3.0] * len(SEED) + [1.0, 0.0, 0.0, 0.0])
@@ -287,22 +321,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     return lexicon, intercept, weights
 
 
-_MATCHERS: dict[tuple, Matcher] = {}
-
-
-def _scorer(lexicon: list[str], intercept: float, weights: np.ndarray, whole: bool):
+def _scorer(lexicon: list[str], intercept: float, weights: np.ndarray, whole: bool, as_name: str = "score"):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(lexicon)
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(lexicon)
-        matcher = _MATCHERS[key]
+        matcher = held(("toxicity", *lexicon), lambda: Matcher(lexicon))
         for batch in batches:
             values = []
             for text in batch.column("text"):
                 values.append(1 / (1 + math.exp(-max(-30.0, min(30.0, intercept + float(matcher.features(text.as_py() or "") @ weights))))))
             kept = [name for name in batch.schema.names if whole or name != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), pa.array(values, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), pa.array(values, pa.float64())], [*kept, as_name])
 
     return score
 
@@ -315,8 +342,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic, with all of their columns."""
+    """The rows of `docs` that aren't predicted toxic, with all of their columns, whatever their names."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     model = learn(rows, labels, sample)
-    typed = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(_scorer(*model, True), typed).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    name = unused("score", docs)
+    typed = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_scorer(*model, True, name), typed).filter(F.col(name) < THRESHOLD).drop(name)

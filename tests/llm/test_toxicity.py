@@ -6,7 +6,7 @@ import pytest
 
 from lodestone.llm import toxicity
 
-from .helpers import docs, odd_rows
+from .helpers import docs, extras, odd_rows
 
 
 def distance(a, b):
@@ -100,6 +100,58 @@ def test_kept_documents_and_no_labels(spark):
     kept = toxicity.kept_documents(df, table)
     assert kept.columns == df.columns and kept.dtypes == df.dtypes
     assert abs(kept.count() - sum(1 - t for *_, t in labels)) < 10
+    assert extras(kept.collect()) == extras(df.collect())
     none = table.limit(0)
     assert [r.predicted for r in toxicity.scored(docs(spark, [(1, "you moron"), (2, "a day")]), none).orderBy("doc_id").collect()] == [1, 0]
     assert toxicity.scored(docs(spark, []), none).count() == 0
+
+
+def test_quotation_marks_are_paired():
+    matcher = toxicity.Matcher(["idiot"])
+    quoted = lambda text: matcher.counts(text)[2] == 1
+    long = " ".join(["word"] * 10)
+    assert quoted('"you idiot"') and quoted("«you idiot, you»") and quoted("„du idiot“ so") and quoted(f'"{long} idiot {long}"')
+    assert quoted('"hello" and "you idiot, bye" now') and quoted('she said "idiot and went') and quoted('"idiot"')
+    assert not quoted('"hello" you idiot "bye" now')
+    assert not quoted("the dogs' leash, you idiot, and the students' work")
+    assert not quoted("you idiot") and not quoted('"a" b "c" idiot "d" e "f"')
+
+
+def test_scores_equal_brute_force(spark):
+    """Scores of whole texts against features counted from the terms' definition, without automaton or caches."""
+    rows, labels = labelled(200, 5)
+    rng = random.Random(8)
+    rows += [(5000 + i, " ".join(rng.choice(["vermin", "verminx", "vrmin", "D0lt", "dolts", "zimbo", "z1mboxx", "ka", "lo", '"dolt"', "«vermin", "zimbo»", "said"]) for _ in range(rng.randrange(30)))) for i in range(120)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = docs(spark, rows)
+    lexicon, intercept, weights = toxicity.learn(df, table)
+    whole, starts = [t for t in lexicon if t[-1] != "*"], [t[:-1] for t in lexicon if t[-1] == "*"]
+
+    def terms(raw):
+        word = raw.strip(toxicity.STRIP)
+        plain = word.translate(toxicity.ALIKE)
+        hits = lambda w: [i for i, t in enumerate(lexicon) if w.isalpha() and len(w) > 2 and (w == t or t[-1] == "*" and w.startswith(t[:-1]))]
+        found = hits(word)
+        if word in whole:
+            return found
+        near = plain != word and bool(hits(plain))
+        for w in {word, plain}:
+            if len(w) >= 4:
+                near |= any(distance(w, t) <= 1 for t in whole if len(t) >= 5)
+                near |= not found and any(distance(w[:k], t) <= 1 for t in starts if len(t) >= 5 for k in range(len(w) + 1))
+        return found + [len(lexicon)] * near
+
+    for r in toxicity.scored(df, table).collect():
+        words = (dict(rows)[r.doc_id] or "").lower().split()
+        counts = np.zeros(len(lexicon) + 4)
+        for i, word in enumerate(words):
+            found = terms(word)
+            if found and toxicity.Matcher.quoted(words, i):
+                counts[-3] += 1
+            elif found:
+                counts[-1] += 1
+                for k in found:
+                    counts[k] += 1
+        x = np.log1p(counts)
+        x[-2] = (counts[-1] / max(1, len(words))) ** 0.5
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(intercept + x @ weights, -30, 30)))) < 1e-9, words
