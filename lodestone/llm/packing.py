@@ -2,7 +2,7 @@
 
 Documents are tokenized once, whole, where they are read; each is cut into windows-full of tokens and a rest (that
 of one in `GRAIN_SHARE` again, at the binary digits of its length, for pieces to level windows with), and only rows of ids, lengths and checksums go on. Full pieces are windows of their own. Rests are spread by a hash of
-their ids over blocks of about `BLOCK_WINDOWS` windows, and in each block differencing partitions them into as few
+their ids and row numbers over blocks of about `BLOCK_WINDOWS` windows, and in each block differencing partitions them into as few
 windows as their sum allows: every piece starts as a partition of one part; again and again the two partitions of
 the largest imbalance are merged, the largest part of one with the smallest of the other, until one is left. If a
 part exceeds the window, the number of windows rises by one and the block is partitioned anew.
@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import held, written
 
 WINDOW = 4096
 BLOCK_WINDOWS = 256
@@ -139,9 +139,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def cuts(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full windows, then the rest.
 
@@ -163,9 +160,7 @@ def cuts(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def _cutter(path: str, window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        encoder = _ENCODERS[path]
+        encoder = held(("packing", path), lambda: Encoder(path))
         for whole in batches:
             for k in range(0, len(whole), 256):
                 batch = whole.slice(k, 256)
@@ -258,9 +253,9 @@ def _packer(window: int):
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
-    cut = written(pieces(docs, vocabulary, window), "pieces")
+    cut = written(pieces(docs, vocabulary, window).withColumn("_no", F.monotonically_increasing_id()), "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, round(total / (window * block_windows)))
-    # the checksum spreads copies of one id over the blocks too
-    placed = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(blocks)))
+    # the row's number spreads copies of one piece over the blocks too
+    placed = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "_no"), F.lit(blocks))).drop("_no")
     return placed.groupBy("_block").applyInArrow(_packer(window), PIECES + ", sequence_id long, offset long")

@@ -7,11 +7,12 @@ the number of bytes it adds to a zstandard frame primed with a dictionary of ide
 for each of its characters; at `NOVELTY` or more it is reported as `novel`. Words, repeats of the context and
 identifiers compress well; keys don't. A candidate's own copies don't explain it where they follow it or are
 themselves in a sensitive place (a candidate or in a base span), and all copies of a candidate have one verdict, `novel` if
-one of them is. A copy before it that is in no sensitive place does explain it: such a string is used elsewhere.
+one of them is. Where several sensitive words stand in one string, it is reported once, from the first novel start. A copy before it that is in no sensitive place does explain it: such a string is used elsewhere.
 
 Texts are scanned whole, in the task that reads them: nothing is shuffled, and candidates are looked for only in
 texts that hold a sensitive word. Defined results: null counts as empty and has no spans; repeated rows are reported
-each; offsets are code points, ends exclusive. Columns other than doc_id and text aren't read.
+each; of spans that start together the kind listed first comes first; an empty table gives an empty result; offsets
+are code points, ends exclusive. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -100,7 +101,12 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         before = blanked(max(0, start - AROUND), start, core, False)
         return novelty(string, before, blanked(end, min(len(text), end + AROUND), core, True)) >= NOVELTY
 
-    return [(start, 3, start + len(string)) for string, starts in found.items() if any(novel(string, start) for start in starts) for start in starts]
+    spans: dict[int, int] = {}  # end -> start: candidates of one run, after one sensitive word or another, are one string
+    for string, starts in found.items():
+        if any(novel(string, start) for start in starts):
+            for start in starts:
+                spans[start + len(string)] = min(start, spans.get(start + len(string), start))
+    return [(start, 3, end) for end, start in spans.items()]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -68,3 +68,10 @@ def test_pack_whole(spark, extra):
 
 def test_empty(spark):
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_copies_of_one_row_are_spread_over_blocks(spark):
+    text = " ".join(["word"] * 700)
+    out = packing.pack(docs(spark, [(1, text)] * 300), block_windows=8).collect()
+    blocks = {r.sequence_id >> 32 for r in out}
+    assert len(blocks) > 3 and sum(r.length for r in out) == 300 * out[0].doc_tokens

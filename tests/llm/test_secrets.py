@@ -60,5 +60,12 @@ def test_copies_do_not_hide_a_secret():
     assert len(secrets.novel_spans(f"bearer {long}\nbearer {long}", [])) == 2
 
 
+def test_one_span_for_one_string():
+    text = f"client_secret_token_credential_{KEY} here"
+    (span,) = secrets.novel_spans(text, [])
+    assert span[2] == text.index(" here") and text[span[0] : span[2]].endswith(KEY)
+    assert secrets.novel_spans(f"secret secret {KEY} token", []) == [(14, 3, 14 + len(KEY))]
+
+
 def test_empty(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
