@@ -5,19 +5,24 @@ is never built from all edges. Each edge is assigned to its anchor, the least ha
 minimizer-based compaction: equal edges have equal anchors, so
 
 1. documents send their distinct anchors, about two in nine words, to partitions by anchor; anchors of two documents
-   or more come back to their documents (a Spark join on the anchor, then on the document);
+   or more come back to their documents' partitions (a Spark join on the anchor, then on the document);
 2. documents send the edges of such anchors; in a partition equal edges meet, and the least (doc_id, position) of each
    is its source. Runs of edges whose positions and sources both advance by one are nonbranching paths, compacted
    to one row: document, position, number of edges, and the source's coordinates;
-3. paths join their documents once more, which glues paths that continue across partitions: a word goes if a path
-   from a source with a smaller doc_id covers it.
+3. paths join their sources' texts, which add a digest of the words that stand at the source's coordinates;
+4. paths join their documents, which glues paths that continue across partitions: a word goes if a path covers it
+   from a source with a smaller doc_id, and only if the document's own words there have the source's digest.
 
-Edges are equal if the 64-bit hash of the anchor, that of the window under another base and the anchor's place agree.
+Edges meet if the 64-bit hash of the anchor, that of the window under another base and the anchor's place agree; all
+of these follow from 64-bit hashes of words. That only proposes repeats: step 4 compares 128-bit digests of the
+words themselves. A path that fails it is dropped.
 
-What moves: texts once (the exchange is used by steps 2 and 3), anchors once, repeated edges once. Before sending,
-each task settles what it can: of an anchor or edge that several of its documents share, one sends a row. So an
-anchor or edge in a third of all documents comes as one row a task. Hashes move as packed arrays, and a
-partition's arrays are of bounded size, as the number of partitions follows from the total of the texts.
+What moves: texts once (steps 2 to 4 use one exchange), anchors once, repeated edges once, paths twice. Before
+sending, each task settles what it can: of an anchor or edge that several of its documents share, one sends a row. So
+an anchor in a third of all documents comes as one row for each `BUFFER` anchors, an edge as one row a partition.
+Hashes move as packed arrays. A document's partition is hashed from its id and text, so ids of one stride, null ids
+and repeated ids are spread; the number of partitions follows from the total of the texts, so that a partition's texts
+have `BUCKET_BYTES` on average.
 
 Defined results: null counts as empty; rows that share a doc_id are judged each, and never as sources of each
 other; a null doc_id counts as larger than any other; repeated rows get equal results; an empty table gives an empty
@@ -40,6 +45,7 @@ WINDOW = 13
 ANCHOR = 6
 BUCKET_BYTES = 12 << 20
 SLICE = 8 << 20
+BUFFER = 1 << 21
 LAST = np.iinfo(np.int64).max
 PACKED = "_to int, packed binary"
 
@@ -61,24 +67,21 @@ def _gather(tables, kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]) for k in range(len(kinds))]
 
 
-def _split(to: np.ndarray, count: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _split(to: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Packed arrays for each destination in `to`."""
+    if not len(to):
+        return
     order = np.argsort(to, kind="stable")
-    arrays = tuple(a[order] for a in arrays)
-    bounds = np.searchsorted(to[order], np.arange(count + 1))
-    for k in np.flatnonzero(np.diff(bounds)):
-        yield int(k), _pack(*(a[bounds[k] : bounds[k + 1]] for a in arrays))
+    to, arrays = to[order], tuple(a[order] for a in arrays)
+    bounds = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
+    for lo, hi in zip(bounds, bounds[1:]):
+        yield int(to[lo]), _pack(*(a[lo:hi] for a in arrays))
 
 
 def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["_to", "packed"])
 
 
-def _home(ids: np.ndarray, count: int) -> np.ndarray:
-    """The partition of documents by id; plain arithmetic, the same here and in the DataFrame expression."""
-    return ids % count
-
-
 def anchors(hashes: np.ndarray, firsts: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, anchor positions, anchor hashes) of all windows inside texts, in order."""
     counts = np.diff(firsts)
@@ -104,58 +107,67 @@ def _repeats(keys: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(new)
 
 
+ANCHORS = (np.uint64, np.int64, np.int32, np.uint8)  # anchor, doc_id, partition of the document, state
+ONE, MANY, KNOWN = 0, 1, 2  # an anchor of one document of the task, of several, and one that needn't meet the others
+
+
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for key in keys:
+        out[1:] |= key[1:] != key[:-1]
+    return out
+
+
 def _send_anchors(count: int, window: int, size: int):
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        best, doc, home = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((home, doc, best))
+        best, doc, home = best[order], doc[order], home[order]
+        keep = _fresh(best, doc, home)
+        best, doc, home = best[keep], doc[keep], home[keep]
+        first, group = _fresh(best), _repeats([best])
+        many = np.bincount(group)[group] > 1
+        known = many & ~first
+        out = list(_split((best[first] % np.uint64(count)).astype(np.int64), best[first], doc[first], home[first], np.where(many[first], MANY, ONE).astype(np.uint8)))
+        return _batch(out + list(_split(home[known], best[known], doc[known], home[known], np.full(known.sum(), KNOWN, np.uint8))))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
         for batch in batches:
             bounds, data = texts_of(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, homes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_to"))
             for i, j in groups_of(bounds, SLICE):
                 firsts, hashes = words_of(bounds[i : j + 1] - bounds[i], data[bounds[i] : bounds[j]])
                 starts, _, best = anchors(hashes, firsts, window, size)
-                doc = np.repeat(ids[i:j], np.diff(firsts))[starts]
-                fresh = np.ones(len(best), bool)
-                fresh[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
-                best, doc = best[fresh], doc[fresh]
-                order = np.lexsort((doc, best))
-                best, doc = best[order], doc[order]
-                fresh = np.ones(len(best), bool)
-                fresh[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
-                best, doc = best[fresh], doc[fresh]
-                group = _repeats([best]) if len(best) else np.zeros(0, np.int64)
-                many = np.bincount(group)[group] > 1 if len(best) else np.zeros(0, bool)
-                first = np.ones(len(best), bool)
-                first[1:] = group[1:] != group[:-1]
-                rows = list(_split((best[first] % np.uint64(count)).astype(np.int64), count, best[first], doc[first], many[first]))
-                # known to be repeated: no need to meet the others, any partition passes them on
-                known = many & ~first
-                rows += _split(_home(doc[known], count), count, best[known], doc[known], np.full(known.sum(), 2, np.uint8).astype(np.uint8))
-                if rows:
-                    yield _batch(rows)
+                if not len(starts):
+                    continue
+                row = np.repeat(np.arange(i, j), np.diff(firsts))[starts]
+                keep = _fresh(best, row)
+                parts.append((best[keep], ids[row[keep]], homes[row[keep]]))
+                if sum(len(p[0]) for p in parts) >= BUFFER:
+                    yield rows(parts)
+                    parts = []
+        if parts:
+            yield rows(parts)
 
     return send
 
 
-def _return_anchors(count: int):
-    def back(key: tuple, table: pa.Table) -> pa.Table:
-        best, doc, state = _gather([table], (np.uint64, np.int64, np.uint8))
-        known = state == 2
-        rest_best, rest_doc, rest_many = best[~known], doc[~known], state[~known] == 1
-        order = np.argsort(rest_best, kind="stable")
-        rest_best, rest_doc, rest_many = rest_best[order], rest_doc[order], rest_many[order]
-        if len(rest_best):
-            group = _repeats([rest_best])
-            low = np.full(group[-1] + 1, LAST)
-            high = np.full(group[-1] + 1, np.iinfo(np.int64).min)
-            np.minimum.at(low, group, rest_doc)
-            np.maximum.at(high, group, rest_doc)
-            many = (low < high) | (np.bincount(group, rest_many) > 0)
-            chosen = many[group]
-            rest_best, rest_doc = rest_best[chosen], rest_doc[chosen]
-        out_best, out_doc = np.concatenate((best[known], rest_best)), np.concatenate((doc[known], rest_doc))
-        rows = list(_split(_home(out_doc, count), count, out_best, out_doc))
-        return pa.Table.from_batches([_batch(rows)])
-
-    return back
+def _return_anchors(key: tuple, table: pa.Table) -> pa.Table:
+    best, doc, home, state = _gather([table], ANCHORS)
+    known = state == KNOWN
+    rest = [x[~known] for x in (best, doc, home, state)]
+    order = np.argsort(rest[0], kind="stable")
+    rest_best, rest_doc, rest_home, rest_state = (x[order] for x in rest)
+    if len(rest_best):
+        group, at = _repeats([rest_best]), np.flatnonzero(_fresh(rest_best))
+        many = (np.minimum.reduceat(rest_doc, at) < np.maximum.reduceat(rest_doc, at)) | (np.maximum.reduceat(rest_state, at) == MANY)
+        chosen = many[group]
+        rest_best, rest_doc, rest_home = rest_best[chosen], rest_doc[chosen], rest_home[chosen]
+    out = [np.concatenate(pair) for pair in ((best[known], rest_best), (doc[known], rest_doc), (home[known], rest_home))]
+    return pa.Table.from_batches([_batch(list(_split(out[2], out[0], out[1])))])
 
 
 def _sorted(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,35 +175,44 @@ def _sorted(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     texts = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     ids = texts.column("doc_id").to_numpy()
     bounds, data = texts_of(texts.column("text"))
-    new = np.ones(len(ids), bool)
-    new[1:] = ids[1:] != ids[:-1]
     at = np.arange(len(ids))
-    return ids, at - np.maximum.accumulate(np.where(new, at, 0)), bounds, data
+    return ids, at - np.maximum.accumulate(np.where(_fresh(ids), at, 0)), bounds, data
 
 
-PATHS = (np.int64, np.uint32, np.int64, np.int64, np.int64, np.int64)  # id, ordinal, start, edges, source id, source start
+#: A place is a partition, a document's id there, its ordinal among equal ids there, and a word of it.
+PLACE = (np.int32, np.int64, np.uint32, np.int64)
+PATHS = (*PLACE, np.int64, *PLACE)  # where a path lies, its number of edges, and where its source lies
+WITNESSED = (*PATHS, np.uint64, np.uint64)  # and the digest of the source's words
 
 
-def _paths(doc, ordinal, start, source, source_start) -> list[np.ndarray]:
-    """Edges, in order, compacted to paths whose positions and sources advance together."""
-    if not len(doc):
-        return [np.zeros(0, kind) for kind in PATHS]
-    same = np.zeros(len(doc), bool)
-    same[1:] = (doc[1:] == doc[:-1]) & (ordinal[1:] == ordinal[:-1]) & (start[1:] == start[:-1] + 1) & (source[1:] == source[:-1]) & (source_start[1:] == source_start[:-1] + 1)
+def _paths(here: list[np.ndarray], source: list[np.ndarray]) -> list[np.ndarray]:
+    """Edges at the places `here`, in order, compacted to paths whose places and sources advance together."""
+    same = np.zeros(len(here[0]), bool)
+    same[1:] = True
+    for place in (here, source):
+        for x in place[:3]:
+            same[1:] &= x[1:] == x[:-1]
+        same[1:] &= place[3][1:] == place[3][:-1] + 1
     at = np.flatnonzero(~same)
-    return [doc[at], ordinal[at], start[at], np.diff(np.append(at, len(doc))), source[at], source_start[at]]
+    return [*(x[at] for x in here), np.diff(np.append(at, len(same))), *(x[at] for x in source)]
+
+
+def _sources(best, wide, offset, here: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each edge the place of the equal one with the least (doc_id, word), and whether it is that one itself."""
+    order = np.lexsort((here[0], here[2], here[3], here[1], offset, wide, best))
+    first = _fresh(best[order], wide[order], offset[order])
+    group = np.cumsum(first) - 1
+    source = []
+    for x in here:
+        found = np.empty_like(x)
+        found[order] = x[order][first][group]
+        source.append(found)
+    leads = np.zeros(len(best), bool)
+    leads[order[first]] = True
+    return source, leads
 
 
-def _sources(best, wide, place, doc, ordinal, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each edge the least (doc_id, start) of the equal ones, and whether it is the first row of its group."""
-    order = np.lexsort((start, doc, place, wide, best))
-    group = _repeats([best[order], wide[order], place[order]])
-    first = np.ones(len(order), bool)
-    first[1:] = group[1:] != group[:-1]
-    source, source_start, leads = np.empty_like(doc), np.empty_like(start), np.zeros(len(doc), bool)
-    source[order], source_start[order] = doc[order][first][group], start[order][first][group]
-    leads[order[first]] = True
-    return source, source_start, leads
+EDGES = (np.uint64, np.uint64, np.uint8, *PLACE)
 
 
 def _send_edges(count: int, window: int, size: int):
@@ -218,46 +239,70 @@ def _send_edges(count: int, window: int, size: int):
             found.append([best[hit], wide, (places - starts)[hit].astype(np.uint8), row[hit], starts[hit] - firsts[row[hit] - i]])
         if not found:
             return pa.Table.from_batches([_batch([])])
-        best, wide, place, row, start = (np.concatenate(x) for x in zip(*found))
-        doc, ordinal = ids[row], ordinals[row].astype(np.uint32)
-        source, source_start, leads = _sources(best, wide, place, doc, ordinal, start)
-        covered = source < doc  # settled here; only one edge of each group asks the others
-        rows = [(to, b"P" + blob) for to, blob in _split(_home(doc[covered], count), count, doc[covered], ordinal[covered], start[covered], source[covered], source_start[covered])]
+        best, wide, offset, row, start = (np.concatenate(x) for x in zip(*found))
+        here = [np.full(len(row), key[0].as_py(), np.int32), ids[row], ordinals[row].astype(np.uint32), start]
+        source, leads = _sources(best, wide, offset, here)
+        covered = source[1] < here[1]  # settled here; only one edge of each group asks the others
+        rows = [(to, b"P" + blob) for to, blob in _placed([x[covered] for x in here], [x[covered] for x in source])]
         # edges with a local source of equal id, in another row or place, go by their own: they aren't covered by it
-        ask = ~covered & (leads | (source == doc))
-        best, wide, place, doc, ordinal, start = (x[ask] for x in (best, wide, place, doc, ordinal, start))
-        rows += [(to, b"E" + blob) for to, blob in _split((best % np.uint64(count)).astype(np.int64), count, best, wide, place, doc, ordinal, start)]
+        ask = ~covered & (leads | (source[1] == here[1]))
+        asked = [x[ask] for x in (best, wide, offset, *here)]
+        rows += [(to, b"E" + blob) for to, blob in _split((asked[0] % np.uint64(count)).astype(np.int64), *asked)]
         return pa.Table.from_batches([_batch(rows)])
 
     return send
 
 
-ASKED = (np.uint64, np.uint64, np.uint8, np.int64, np.uint32, np.int64)
-SETTLED = (np.int64, np.uint32, np.int64, np.int64, np.int64)
+def _placed(here: list[np.ndarray], source: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Edges with their sources as paths, packed for the sources' partitions."""
+    order = np.lexsort((here[3], here[2], here[1], here[0]))
+    paths = _paths([x[order] for x in here], [x[order] for x in source])
+    return _split(paths[5], *paths)
 
 
-def _compact(count: int):
-    def compact(key: tuple, table: pa.Table) -> pa.Table:
-        blobs = table.column("packed").to_pylist()
-        rows: list[tuple[int, bytes]] = []
+def _compact(key: tuple, table: pa.Table) -> pa.Table:
+    blobs = table.column("packed").to_pylist()
+    asked = [_unpack(b[1:], EDGES) for b in blobs if b[:1] == b"E"]
+    rows = [(key[0].as_py(), b[1:]) for b in blobs if b[:1] == b"P"]  # settled, and already where their sources are
+    if asked:
+        best, wide, offset, *here = (np.concatenate(x) for x in zip(*asked))
+        source, _ = _sources(best, wide, offset, here)
+        covered = source[1] < here[1]
+        rows += _placed([x[covered] for x in here], [x[covered] for x in source])
+    return pa.Table.from_batches([_batch(rows)])
 
-        def paths(doc, ordinal, start, source, source_start) -> None:
-            order = np.lexsort((start, ordinal, doc))
-            found = _paths(*(x[order] for x in (doc, ordinal, start, source, source_start)))
-            rows.extend(_split(_home(found[0], count), count, *found))
 
-        asked = [_unpack(b[1:], ASKED) for b in blobs if b[:1] == b"E"]
-        if asked:
-            best, wide, place, doc, ordinal, start = (np.concatenate(x) for x in zip(*asked))
-            source, source_start, _ = _sources(best, wide, place, doc, ordinal, start)
-            covered = source < doc
-            paths(*(x[covered] for x in (doc, ordinal, start, source, source_start)))
-        for b in blobs:
-            if b[:1] == b"P":
-                paths(*_unpack(b[1:], SETTLED))
-        return pa.Table.from_batches([_batch(rows)])
+def _rows_of(ids: np.ndarray, ordinals: np.ndarray, doc: np.ndarray, ordinal: np.ndarray) -> np.ndarray:
+    """The row of each (doc, ordinal) among texts that are sorted by id."""
+    return np.searchsorted(ids, doc) + ordinal.astype(np.int64)
+
 
-    return compact
+def _digest(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.uint64)
+
+
+def _witness(window: int):
+    """Adds to paths the digest of the words at their sources, and sends them on to their documents."""
+
+    def witness(key: tuple, texts: pa.Table, paths: pa.Table) -> pa.Table:
+        found = _gather([paths], PATHS)
+        if not len(found[0]):
+            return pa.Table.from_batches([_batch([])])
+        ids, ordinals, bounds, data = _sorted(texts)
+        raw, row = data.tobytes(), _rows_of(ids, ordinals, found[6], found[7])
+        order = np.lexsort((found[4], found[8], row))
+        digests = np.zeros((len(row), 2), np.uint64)
+        held, last = None, None
+        for k in order:
+            if held != row[k]:
+                held, words = row[k], raw[bounds[row[k]] : bounds[row[k] + 1]].split()
+            span = (held, found[8][k], found[4][k])
+            if span != last:
+                last, digest = span, _digest(words[found[8][k] : found[8][k] + found[4][k] + window - 1])
+            digests[k] = digest
+        return pa.Table.from_batches([_batch(list(_split(found[0], *found, digests[:, 0], digests[:, 1])))])
+
+    return witness
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,words:long,source_doc_id:long,source_start:long>>, kept_text string"
@@ -267,25 +312,30 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("sour
 def _remove(window: int, with_text: bool):
     def remove(key: tuple, texts: pa.Table, paths: pa.Table) -> pa.Table:
         ids, ordinals, bounds, data = _sorted(texts)
-        doc, ordinal, start, edges, source, source_start = _gather([paths], PATHS)
-        order = np.lexsort((start, ordinal, doc))
-        doc, ordinal, start, edges, source, source_start = (x[order] for x in (doc, ordinal, start, edges, source, source_start))
+        found = _gather([paths], WITNESSED)
+        row = _rows_of(ids, ordinals, found[1], found[2])
+        order = np.lexsort((found[3], row))
+        row = row[order]
+        start, edges, source, source_start, low, high = (found[k][order] for k in (3, 4, 6, 8, 9, 10))
         raw = data.tobytes()
         out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text")}
-        lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+        bound = np.searchsorted(row, np.arange(len(ids) + 1))
         for r, doc_id in enumerate(ids):
             words = raw[bounds[r] : bounds[r + 1]].split()
             removed, spans, kept = 0, [], words
-            if lo[r] < hi[r]:
-                mine = np.arange(lo[r], hi[r])[ordinal[lo[r] : hi[r]] == ordinals[r]]
-                if len(mine):
-                    depth = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(depth, start[mine], 1)
-                    np.add.at(depth, start[mine] + edges[mine] + window - 1, -1)
-                    stays = np.cumsum(depth[:-1]) == 0
-                    kept = [words[k] for k in np.flatnonzero(stays)]
-                    removed = len(words) - len(kept)
-                    spans = [{"start": int(start[k]), "words": int(edges[k]) + window - 1, "source_doc_id": int(source[k]), "source_start": int(source_start[k])} for k in mine]
+            mine = []
+            for k in range(bound[r], bound[r + 1]):
+                digest = _digest(words[start[k] : start[k] + edges[k] + window - 1])
+                if digest[0] == low[k] and digest[1] == high[k]:
+                    mine.append(k)
+            if mine:
+                depth = np.zeros(len(words) + 1, np.int64)
+                np.add.at(depth, start[mine], 1)
+                np.add.at(depth, start[mine] + edges[mine] + window - 1, -1)
+                stays = np.cumsum(depth[:-1]) == 0
+                kept = [words[k] for k in np.flatnonzero(stays)]
+                removed = len(words) - len(kept)
+                spans = [{"start": int(start[k]), "words": int(edges[k]) + window - 1, "source_doc_id": int(source[k]), "source_start": int(source_start[k])} for k in mine]
             text = b" ".join(kept)
             out["doc_id"].append(None if doc_id == LAST else int(doc_id))
             out["n_words"].append(len(words))
@@ -305,10 +355,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     count = int(max(1, -(-total // BUCKET_BYTES)))
-    texts = docs.withColumn("_to", F.pmod("doc_id", F.lit(count).cast("long")).cast("int"))
-    sent = docs.mapInArrow(_send_anchors(count, window, anchor), PACKED)
-    flags = sent.groupBy("_to").applyInArrow(_return_anchors(count), PACKED)
+    texts = docs.withColumn("_to", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count).cast("long")).cast("int"))
+    sent = texts.mapInArrow(_send_anchors(count, window, anchor), PACKED)
+    flags = sent.groupBy("_to").applyInArrow(_return_anchors, PACKED)
     by_home = texts.groupBy("_to")
     edges = by_home.cogroup(flags.groupBy("_to")).applyInArrow(_send_edges(count, window, anchor), PACKED)
-    paths = edges.groupBy("_to").applyInArrow(_compact(count), PACKED)
-    return by_home.cogroup(paths.groupBy("_to")).applyInArrow(_remove(window, with_text), RESULT)
+    paths = edges.groupBy("_to").applyInArrow(_compact, PACKED)
+    witnessed = by_home.cogroup(paths.groupBy("_to")).applyInArrow(_witness(window), PACKED)
+    return by_home.cogroup(witnessed.groupBy("_to")).applyInArrow(_remove(window, with_text), RESULT)

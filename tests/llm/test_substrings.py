@@ -3,6 +3,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import substrings
@@ -68,3 +70,28 @@ def test_spans_name_their_sources(spark):
 
 def test_empty(spark):
     assert substrings.dedup(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["strided", "null", "repeated"])
+def test_ids_do_not_crowd_partitions(spark, monkeypatch, ids):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 5_000)
+    rows = [({"strided": 2500 * i, "null": None, "repeated": 5}[ids] if i % 5 else i, t) for i, t in shared_rows(6)]
+    out = substrings.dedup(docs(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, out.collect()), key=repr) == brute(rows)
+    assert "pmod(xxhash64(doc_id" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_paths_are_checked_at_their_sources():
+    """A path whose source has other words than the document removes nothing, whatever the hashes said."""
+    words = [f"w{i}" for i in range(40)]
+    texts = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [" ".join(words), " ".join(words[:20])]})
+    for source_start, removed in ((0, 20), (3, 0)):
+        path = [np.array([x], kind) for x, kind in zip((0, 2, 0, 0, 8, 0, 1, 0, source_start), substrings.PATHS)]
+        paths = pa.table({"packed": pa.array([substrings._pack(*path)], pa.binary())})
+        witnessed = substrings._witness(13)((pa.scalar(0),), texts, paths)
+        assert substrings._remove(13, False)((pa.scalar(0),), texts, witnessed).column("n_removed").to_pylist() == [0, removed]
+
+
+def test_split_costs_what_is_there():
+    to = np.array([10**9, 5, 10**9, 7])
+    assert [(k, substrings._unpack(b, (np.int64,))[0].tolist()) for k, b in substrings._split(to, np.arange(4))] == [(5, [1]), (7, [3]), (10**9, [0, 2])]
