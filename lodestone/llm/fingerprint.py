@@ -10,29 +10,36 @@ overflows and no lane runs into its neighbour. Likeness: read as lane sums of +1
 number), the vectors estimate inner products of paragraph multisets; likeness is the cosine of two of them, cut to
 0..1, and exactly 1 for equal fingerprints. Its error is about 1 / sqrt(LANES) = 0.065.
 
-All of it is DataFrame expressions. `edited_documents` finds each document's neighbour without a global sort or
-window: ids are split into at most `CELLS` cells by quantiles, texts move once to their cell, and the head of each
-cell (one row a cell, a bounded broadcast of ids) visits the cell above it.
+All of it is DataFrame expressions. `edited_documents` finds each document's neighbour with one move of the texts:
+rows are ranked by (descending id, hash of the text), which moves neither texts nor more than three longs a row;
+every `CELL_ROWS`-th of them, or more for at most `CELLS` of them, begins a cell, so cells are of equal size whatever
+ids are null or repeat. Texts move once to their cell, found by binary search, and the head of each cell visits the
+cell before it. `fingerprints` takes the inner products from exploded lanes, added up by generated code.
 
 Defined results: a null text is the empty text, which has one empty paragraph; a null doc_id comes last in the
-descending order; rows that share a doc_id are ordered by their texts' hash; an empty table gives an empty result.
+descending order; rows that share a doc_id are ordered by their texts' hash, and rows equal in both are
+interchangeable; an empty table gives an empty result. Columns other than doc_id and text aren't read, so extra ones
+may have any name.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import global_rank, written
+
 SEEDS = 4
 LONGS = 20  # of each seed: bits i, i + 20 and i + 40 of its hash
 LANES = SEEDS * LONGS * 3
 ONES = 1 | 1 << 20 | 1 << 40
 MASK = (2**19 - 1) * ONES
+SHIFTS = (0, 20, 40)
 CELLS = 1 << 16
 CELL_ROWS = 4096
-SEGMENTS = 64
 
 
 def paragraph_vector(paragraph: Column) -> Column:
@@ -64,62 +71,51 @@ def as_text(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
 
 
+def _signed(x: Column, n: Column, shift: int) -> Column:
+    """A lane as its sum of +1 and -1, of `n` paragraphs."""
+    return F.shiftright(x, shift).bitwiseAND(F.lit(2**19 - 1).cast("long")) * 2 - n
+
+
+def _cosine(same: Column, dot: Column, norm_a: Column, norm_b: Column) -> Column:
+    norm = F.sqrt(norm_a.cast("double") * norm_b.cast("double"))
+    return F.when(same, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(dot / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the cosine of the two signed lane sums; 1 for equal fingerprints."""
     n_a, n_b = F.element_at(a, -1), F.element_at(b, -1)
-    lane = 2**19 - 1
-
-    def signed(x: Column, n: Column, shift: int) -> Column:
-        return (F.shiftright(x, shift).bitwiseAND(F.lit(lane)) * 2 - n).cast("double")
 
     def dot(x: Column, n_x: Column, y: Column, n_y: Column) -> Column:
         products = F.zip_with(F.slice(x, 1, SEEDS * LONGS), F.slice(y, 1, SEEDS * LONGS), lambda p, q: reduce(
-            Column.__add__, [signed(p, n_x, s) * signed(q, n_y, s) for s in (0, 20, 40)]))
-        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
-
-    norm = F.sqrt(dot(a, n_a, a, n_a) * dot(b, n_b, b, n_b))
-    cosine = F.coalesce(dot(a, n_a, b, n_b) / F.nullif(norm, F.lit(0.0)), F.lit(0.0))
-    return F.when(a == b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
-
+            Column.__add__, [_signed(p, n_x, s) * _signed(q, n_y, s) for s in SHIFTS]))
+        return F.aggregate(products, F.lit(0).cast("long"), lambda acc, v: acc + v)
 
-def _cell(id_: Column, bounds: list[int], width: list[int], first: list[int]) -> Column:
-    """The cell of an id: a binary search for its segment among `bounds`, then equal widths in the segment."""
+    return _cosine(a == b, dot(a, n_a, b, n_b), dot(a, n_a, a, n_a), dot(b, n_b, b, n_b))
 
-    def search(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            inside = F.floor((id_ - F.lit(bounds[lo]).cast("decimal(20,0)")) / F.lit(width[lo]))
-            inside = F.least(F.lit(first[lo + 1] - first[lo] - 1).cast("long"), F.greatest(F.lit(0).cast("long"), inside.cast("long")))
-            return F.lit(first[lo]).cast("long") + inside
-        mid = (lo + hi) // 2
-        return F.when(id_ < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid, hi))
 
-    return F.when(id_.isNull(), F.lit(-1).cast("long")).otherwise(search(0, len(width)))
+def _bounds(docs: DataFrame) -> list[tuple[int, int, int]]:
+    """The first key of each cell, in order; at most `CELLS` of them come to the driver."""
+    ranked = global_rank(docs.select("_key.*"), ["n", "k", "h"])
+    width = max(CELL_ROWS, -(-ranked.count() // CELLS))
+    return sorted({tuple(r) for r in ranked.filter(F.col("rank") % width == 0).select("n", "k", "h").collect()})
 
 
 def with_neighbour(docs: DataFrame) -> DataFrame:
     """doc_id, text, vector (fingerprint) and the text and vector of the next document in descending doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    points = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    stats = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", points, 10_000).alias("at"), F.max("doc_id").alias("top"), F.min("doc_id").alias("low")).first()
-    at = sorted({stats["low"], *stats["at"], stats["top"]}) if stats["n"] else [0]
-    cells = max(1, min(CELLS // (len(at) + 1), stats["n"] // CELL_ROWS // max(1, len(at) - 1)))  # of each segment
-    bounds, width, first = [], [], [0]
-    for lo, hi in zip(at, at[1:] + [at[-1] + 1]):
-        bounds.append(lo)
-        width.append(-(-(hi - lo) // cells))
-        first.append(first[-1] + cells)
-    cell = _cell(F.col("doc_id"), bounds, width, first)
-    # at most CELLS + 1 rows: the largest id of each cell, and the next cell above that has rows
-    heads = docs.select("doc_id").withColumn("_cell", cell).groupBy("_cell").agg(F.max("doc_id").alias("_head"))
-    above = F.coalesce(F.lead("_cell").over(Window.orderBy("_cell")), F.first("_cell").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select("_head", above.alias("_visit"))
-    placed = docs.withColumn("_cell", cell).join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    last, down = F.col("doc_id").isNull().cast("int"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0))
+    docs = docs.withColumn("_key", F.struct(last.alias("n"), down.alias("k"), F.xxhash64("text").alias("h")))
+    bounds = _bounds(docs) or [(0, 0, 0)]
+    known = F.from_json(F.lit(json.dumps([dict(zip("nkh", b)) for b in bounds])), "array<struct<n:int,k:bigint,h:bigint>>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, (len(bounds) - 1).bit_length())))])
+    cell = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step) <= F.col("_key"), at + step).otherwise(at))
+    placed = docs.withColumn("_cell", cell)
     own = F.struct(F.col("_cell").alias("cell"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("_visit").alias("cell"), F.lit(1).alias("guest"))
-    places = F.explode(F.when(F.col("_visit").isNull(), F.array(own)).otherwise(F.array(own, guest)))
-    moved = placed.select("doc_id", "text", places.alias("_at")).select("doc_id", "text", F.col("_at.cell").alias("_cell"), F.col("_at.guest").alias("_guest"))
+    guest = F.struct(F.pmod(F.col("_cell") - 1, F.lit(len(bounds))).alias("cell"), F.lit(1).alias("guest"))
+    places = F.explode(F.when(F.get(known, F.col("_cell")) == F.col("_key"), F.array(own, guest)).otherwise(F.array(own)))
+    moved = placed.select("doc_id", "text", "_key", places.alias("_at")).select("doc_id", "text", "_key", F.col("_at.cell").alias("_cell"), F.col("_at.guest").alias("_guest"))
     moved = moved.repartition("_cell").withColumn("vector", fingerprint(F.col("text")))
-    order = Window.partitionBy("_cell").orderBy("_guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
+    order = Window.partitionBy("_cell").orderBy("_guest", "_key", "text")
     following = F.lead(F.struct("text", "vector")).over(order)
     return moved.withColumn("_next", following).filter("_guest = 0").select("doc_id", "text", "vector", F.col("_next.text").alias("next_text"), F.col("_next.vector").alias("next_vector"))
 
@@ -136,8 +132,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its own and its edited text's fingerprint, and likenesses."""
     # explode of one element keeps the optimizer from copying the fingerprint into each of its uses
     rows = edited_documents(docs).withColumn("edited_vector", F.explode(F.array(fingerprint(F.col("edited")))))
+    same = [(F.col("vector") == F.col(f"{other}_vector")).alias(f"same_{other}") for other in ("edited", "next")]
+    rows = written(
+        rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "vector", "edited_vector", "next_vector", *same),
+        "fingerprints",
+    )
+    vectors = {"a": "vector", "b": "edited_vector", "c": "next_vector"}
+    packed = F.arrays_zip(*[F.slice(v, 1, SEEDS * LONGS).alias(k) for k, v in vectors.items()])
+    counts = [F.element_at(v, -1).alias(f"n_{k}") for k, v in vectors.items()]
+    lanes = rows.select("row", *counts, F.explode(packed).alias("x")).select("row", *(f"n_{k}" for k in vectors), "x.*")
+
+    def dot(x: str, y: str) -> Column:
+        return F.sum(reduce(Column.__add__, [_signed(F.col(x), F.col(f"n_{x}"), s) * _signed(F.col(y), F.col(f"n_{y}"), s) for s in SHIFTS])).alias(x + y)
+
+    dots = lanes.groupBy("row").agg(*(dot(*pair) for pair in ("aa", "bb", "cc", "ab", "ac")))
+    rows = rows.drop("next_vector").join(dots, "row")
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("vector")).alias("fingerprint"), as_text(F.col("edited_vector")).alias("edited_fingerprint"),
-        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"), likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("vector")).alias("fingerprint"), as_text(F.col("edited_vector")).alias("edited_fingerprint"),
+        _cosine(F.col("same_edited"), F.col("ab"), F.col("aa"), F.col("bb")).alias("near_edited"),
+        _cosine(F.col("same_next"), F.col("ac"), F.col("aa"), F.col("cc")).alias("near_next"),
     )

@@ -68,6 +68,34 @@ def test_likeness_follows_shared_paragraphs(spark):
     assert got[0] == 1
 
 
+@pytest.mark.parametrize("rows_a_cell", [4096, 7])
+def test_null_and_repeated_ids_in_hash_order(spark, monkeypatch, rows_a_cell):
+    """Rows without ids or of one id, by their texts' hash, over as many cells as there is need for."""
+    import xxhash
+
+    monkeypatch.setattr(fingerprint, "CELL_ROWS", rows_a_cell)
+    rng = random.Random(2)
+    text = lambda: "\n".join(f"line {rng.randrange(30)}" for _ in range(rng.randrange(1, 9)))
+    rows = [(None, text()) for _ in range(60)] + [(5, text()) for _ in range(60)] + [(i, text()) for i in range(20)] + [(5, "same")] * 20 + [(None, None)]
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = sorted(((i, hashlib.sha256(edited(t or "", n or "").encode()).hexdigest()) for (i, t), (_, n) in zip(order, order[1:] + order[:1])), key=repr)
+    out = fingerprint.fingerprints(docs(spark, rows, True))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in out.collect()), key=repr) == want
+    cells = fingerprint.with_neighbour(docs(spark, rows))
+    assert cells.count() == len(rows)
+
+
+def test_likenesses_equal_those_of_the_vectors(spark):
+    rows = unique_rows(3)
+    vectors = fingerprint.edited_documents(docs(spark, rows))
+    pair = lambda other: fingerprint.likeness(F.col("vector"), other)
+    want = vectors.select("doc_id", pair(fingerprint.fingerprint(F.col("edited"))).alias("near_edited"), pair(F.col("next_vector")).alias("near_next"))
+    want = {r.doc_id: (r.near_edited, r.near_next) for r in want.collect()}
+    for r in fingerprint.fingerprints(docs(spark, rows)).collect():
+        assert (r.near_edited, r.near_next) == pytest.approx(want[r.doc_id], abs=1e-12)
+
+
 def test_no_python(spark):
     plan = fingerprint.fingerprints(docs(spark, [(1, "a"), (2, "b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
