@@ -7,20 +7,20 @@ from the operands' types; what remains is plain Column expressions, which stay i
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import AGGREGATES, SCALARS
-from ..operators.quantified import quantified
+from ..operators.quantified import not_in, quantified
 from ..sql.lexer import SqlError
 from ..sql.tree import (
     Between, Binary, Call, Case, Compare, Expr, InList, InQuery, IsDistinct, IsNull, Like, Literal, Logical, Name, Not, Quantified, Query, Unary,
 )
 from ..types import INTEGERS, NUMBERS, TIMES, as_text, parse_time
-from .scope import Scope
+from .scope import Scope, fresh
 
 
 @dataclass(frozen=True)
@@ -78,6 +78,10 @@ def children(e: Expr) -> list[Expr]:
     return []
 
 
+def has_query(e: Expr) -> bool:
+    return isinstance(e, (InQuery, Quantified)) or any(map(has_query, children(e)))
+
+
 def is_aggregate(e: Expr) -> bool:
     return isinstance(e, Call) and e.name.upper() in AGGREGATES
 
@@ -111,7 +115,8 @@ class Compiler:
             case Literal():
                 return ("literal", e.kind, e.value)
             case Call():
-                return ("call", e.name.upper(), e.distinct, e.star, *(self.key(a) for a in e.args))
+                order = tuple((self.key(s.item), s.descending, s.nulls_first) for s in e.order)
+                return ("call", e.name.upper(), e.distinct, e.star, *(self.key(a) for a in e.args), *order)
         extra = [getattr(e, a) for a in ("op", "negated", "escape", "which") if hasattr(e, a)]
         query = getattr(e, "query", None)
         return (type(e).__name__, *extra, query, *(self.key(c) for c in children(e)))
@@ -238,6 +243,12 @@ class Compiler:
 
     def predicate(self, e: Expr) -> Column:
         match e:
+            case Not(item=InQuery() as inner):
+                return self.predicate(replace(inner, negated=not inner.negated))
+            case Not(item=Not() as inner):
+                return self.condition(inner.item)
+            case Not(item=Logical() as inner) if has_query(inner):  # so that NOT reaches the subquery's comparison
+                return self.predicate(Logical("OR" if inner.op == "AND" else "AND", Not(inner.left), Not(inner.right)))
             case Not():
                 return ~self.condition(e.item)
             case Logical(op="AND"):
@@ -254,7 +265,7 @@ class Compiler:
             case InList():
                 found = self.in_list(self.typed(e.item), [self.typed(i) for i in e.items], e.items)
             case InQuery():
-                found = self.in_query(self.typed(e.item), self.subquery(e.query))
+                return self.in_query(self.typed(e.item), self.subquery(e.query), e.negated)
             case Like():
                 found = self.like(e)
             case IsNull():
@@ -276,10 +287,11 @@ class Compiler:
             found = found | self.compare("=", item, other)
         return found
 
-    def in_query(self, item: Typed, rows: DataFrame) -> Column:
+    def in_query(self, item: Typed, rows: DataFrame, negated: bool) -> Column:
         kind = rows.schema[0].dataType
         x, y = self.alike(item, Typed(F.col(rows.columns[0]), kind))
-        return x.isin(rows.select(y.alias("_in")))
+        rows = rows.select(y.alias(fresh("in")))
+        return not_in(x, rows) if negated else x.isin(rows)
 
     def like(self, e: Like) -> Column:
         item, pattern = self.typed(e.item), self.typed(e.pattern)

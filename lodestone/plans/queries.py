@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import AGGREGATES
+from ..functions.aggregate import ordered_sum
 from ..sql.lexer import SqlError
 from ..sql.tree import (
     Aliased, Compare, Derived, Expr, Join, Literal, Logical, Name, Query, Relation, Select, SelectItem, SetOperation, SortItem, Table,
@@ -229,6 +230,13 @@ class QueryCompiler:
         if aggregates_in(call.args[0]):
             raise SqlError("aggregates can't be nested")
         found = compiler.typed(call.args[0])
+        if call.order and name == "SUM" and isinstance(found.kind, T.StringType):
+            directions = {s.descending for s in call.order}
+            if len(directions) > 1 or any(s.nulls_first is not None and s.nulls_first == s.descending for s in call.order):
+                raise SqlError("ORDER BY in SUM takes one direction, nulls being least")
+            if call.distinct and [compiler.key(s.item) for s in call.order] != [compiler.key(call.args[0])]:
+                raise SqlError("SUM(DISTINCT) can be ordered by its argument only")
+            return ordered_sum(found.column, [compiler.column(s.item) for s in call.order], directions.pop(), call.distinct)
         return AGGREGATES[name](found.column, found.kind, call.distinct)
 
     # relations

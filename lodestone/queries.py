@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
+from functools import cache
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Settings, TableEntry
+from .server import serve
 from .session import Engine
+from .sql.lexer import SqlError
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -47,6 +55,10 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "string_number_compare": ("select n_nationkey from nation where n_nationkey = '3' or n_regionkey < '10'", "select n_nationkey from nation where CAST(n_nationkey AS VARCHAR) = '3' or CAST(n_regionkey AS VARCHAR) < '10'"),
     "in_subquery": ("select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')", None),
     "not_in_subquery": ("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)", None),
+    "not_in_nulls": (
+        "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 400000 where o_orderkey not in (select o_orderkey from orders where o_totalprice > 450000) or not (c_nationkey in (select n_nationkey from nation where n_nationkey > 3) or c_custkey in (select o_custkey from orders))",
+        None,
+    ),
     "in_subquery_and": ("select o_orderkey from orders where o_totalprice > 100000 and (o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') or o_orderkey < 100)", None),
     "quantified_any_all": (
         "select p_partkey, p_retailprice from part where p_retailprice >= all (select p_retailprice from part where p_size < 10) or p_partkey = any (select n_nationkey from nation) or p_size < some (select n_regionkey from nation where n_nationkey > 20) or p_partkey <> all (select l_partkey from lineitem)",
@@ -94,6 +106,10 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "agg_scalar_over_agg": ("select l_linestatus, abs(sum(0.0 - l_quantity)) as s, round(avg(l_quantity) * 1000.0) as a from lineitem group by l_linestatus", None),
     "agg_group_only": ("select c_mktsegment from customer group by c_mktsegment", None),
     "agg_constant_group": ("select count(1) as n from nation group by 1", "select count(1) as n from nation"),
+    "agg_string_sum_ordered": (
+        "select n_regionkey, sum(n_name order by n_nationkey desc) as names, count(n_name order by n_name) as n from nation group by distinct n_regionkey",
+        "select n_regionkey, string_agg(n_name, '' order by n_nationkey desc) as names, count(n_name) as n from nation group by n_regionkey",
+    ),
     "agg_string_sum": ("select n_regionkey, sum(n_name) as names from nation group by n_regionkey", "select n_regionkey, string_agg(n_name, '' order by n_name) as names from nation group by n_regionkey"),
     "sort_limit_topk": ("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20", None),
     "sort_nulls": (
@@ -141,31 +157,55 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "derived_table": ("select seg, total from (select c_mktsegment as seg, sum(c_acctbal) as total from customer group by c_mktsegment) t where total > 0.0", None),
     "parenthesised_relation": ("select z.n_name from (nation n join region r on n.n_regionkey = r.r_regionkey) z where z.r_name = 'ASIA'", "select n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'"),
     "hint_partition": ("/*+partition_number=3*/ select n_regionkey, count(1) as n from nation group by n_regionkey", None),
+    "rand_now_checks": (
+        "select n_nationkey, rand() >= 0.0 and rand() < 1.0 as r, random() < 1.0 as q, now() > timestamp '2020-01-01' as t from nation",
+        "select n_nationkey, true as r, true as q, true as t from nation",
+    ),
+    "group_by_all": ("select c_nationkey, count(1) as n from customer group by all c_nationkey", "select c_nationkey, count(1) as n from customer group by c_nationkey"),
     "case_insensitive": ("SeLeCt N_NAME as n_name FROM Nation left JOIN region ON N_REGIONKEY = R_REGIONKEY ORDER BY n_name asc LIMIT 5", None),
 }
 
-#: Statements checked by rows alone: their results depend on the clock, chance or the catalog.
+#: Statements checked by rows alone: their results depend on the clock and chance.
 ROWS_ONLY: dict[str, str] = {
     "rand_now": "select n_nationkey, rand() as r, random() as q, now() as t from nation",
-    "show_catalogs": "show catalogs like '%i%'",
-    "show_schemas": "show schemas from file",
-    "show_tables": "show tables from file.tpch like '%n%'",
-    "show_columns": "show columns from lineitem",
-    "describe": "describe file.tpch.orders",
-    "show_create_table": "show create table nation",
-    "use_schema": "use file.tpch",
+}
+
+#: Statements about the catalog, and DuckDB SQL for what they list.
+LISTINGS: dict[str, tuple[str, str]] = {
+    "show_catalogs": ("show catalogs like '%i%'", "select 'file' as catalog"),
+    "show_schemas": ("show schemas from file", "select 'tpch' as schema"),
+    "show_tables": ("show tables from file.tpch like '%n%'", "select * from (values ('nation'), ('region'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('benchmark'), ('conversations')) t(\"table\")"),
+    "show_columns": (
+        "show columns from lineitem",
+        "select * from (values ('l_orderkey', 'INT64'), ('l_partkey', 'INT64'), ('l_suppkey', 'INT64'), ('l_linenumber', 'INT32'), ('l_quantity', 'FLOAT64'), ('l_extendedprice', 'FLOAT64'), ('l_discount', 'FLOAT64'), ('l_tax', 'FLOAT64'), ('l_returnflag', 'STRING'), ('l_linestatus', 'STRING'), ('l_shipdate', 'TIMESTAMP')) t(NAME, TYPE)",
+    ),
+    "describe": (
+        "describe file.tpch.orders",
+        "select * from (values ('o_orderkey', 'INT64'), ('o_custkey', 'INT64'), ('o_orderstatus', 'STRING'), ('o_totalprice', 'FLOAT64'), ('o_orderdate', 'TIMESTAMP'), ('o_orderpriority', 'STRING')) t(NAME, TYPE)",
+    ),
+    "show_create_table": (
+        "show create table nation",
+        "select 'CREATE TABLE file.tpch.nation (' || chr(10) || '  n_nationkey INT32,' || chr(10) || '  n_name STRING,' || chr(10) || '  n_regionkey INT32' || chr(10) || ') WITH (connector = ''file'')' as create_table",
+    ),
+    "use_schema": ("use file.tpch", "select 'file' as catalog, 'tpch' as schema"),
 }
 
 ROUND_TRIP = "select n_nationkey as k, n_name as name, n_regionkey as r from nation union all select r_regionkey, 'a,\"quoted\"' || r_name, null from region"
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or a local one where all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"lodestone-{name}-")
+
+
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INSERT into a CSV table, twice from queries, then read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        folder = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
-    else:
-        folder = tempfile.mkdtemp(prefix="lodestone-csv-")
+    folder = _folder(spark, "csv")
     table = TableEntry("file", "file", "info", "copy", (("k", "INT64"), ("name", "STRING"), ("r", "INT32")), {"file-type": "csv", "paths": [folder]})
     e = engine(spark, sf_dir, (table,))
     first = e.sql(f"insert into file.info.copy {ROUND_TRIP}").first()["affected"]
@@ -173,6 +213,124 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql(f"select k, name, r, {first} as first, {second} as second from file.info.copy")
 
 
+def _partitioned(kind: str, listing: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """INSERT into a table with a partition column, then read some of its partitions, or list them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        columns = (("k", "INT64"), ("region", "INT32"), ("name", "STRING"))
+        table = TableEntry("file", "file", "info", "parts", columns, {"file-type": kind, "partitions": ["region"], "paths": [_folder(spark, kind)]})
+        e = engine(spark, sf_dir, (table,))
+        e.sql("insert into file.info.parts (name, k, region) select c_name, c_custkey, c_nationkey % 5 from customer")
+        return e.sql(listing or "select name, region, k from file.info.parts where region in (1, 3) and k > 10")
+
+    return run
+
+
+def _wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry for all tables whose names begin alike; another, of a whole name, goes before it."""
+    wild = TableEntry("file", "file", "wild", "or*", (), {"file-type": "parquet", "paths": [f"{sf_dir}/orders.parquet"]})
+    exact = TableEntry("file", "file", "wild", "origins", (), {"file-type": "parquet", "paths": [f"{sf_dir}/nation.parquet"]})
+    return engine(spark, sf_dir, (wild, exact)).sql("select o.o_orderkey, n.n_name from file.wild.orders_of_any_year o join file.wild.origins n on o.o_custkey % 25 = n.n_nationkey")
+
+
+class _Keys(BaseHTTPRequestHandler):
+    """Answers GET with 40 keys, and POST, form or JSON, with those that it asks for."""
+
+    def do_GET(self) -> None:
+        query = parse_qs(self.path.partition("?")[2])
+        self._answer(json.loads(query["ids"][0]) if "ids" in query else range(40))
+
+    def do_POST(self) -> None:
+        self._answer(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["ids"])
+
+    def _answer(self, ids) -> None:
+        body = json.dumps({"node": {"nodes": [{"key": f"k{i}", "value": i * i} for i in ids]}}).encode()
+        self.send_response(200)
+        self.send_header("Content-Type", "application/json")
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args) -> None:
+        pass
+
+
+@cache
+def _stub() -> str:
+    """The address of a server of this process, for the HTTP source's queries."""
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Keys)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return f"http://127.0.0.1:{server.server_port}"
+
+
+HTTP = TableEntry("http", "http", "etcd", "*", (("key", "STRING"), ("value", "INT64"), ("_http", "STRING"), ("_", "STRING")), {"filter-column": "_http", "result-column": "_", "slices": 4})
+
+
+def _http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = json.dumps({"url": _stub(), "uri": "v2/keys", "dataPath": "node.nodes"})
+    return engine(spark, sf_dir, (HTTP,)).sql(f"select n_name, key, value + n_regionkey as v from http.etcd.keys join nation on 'k' || n_nationkey = key where _http = '{asked}' and value > 3")
+
+
+def _http_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request cut at an array of its body, and one cut at an array of its query string."""
+    body = {"url": _stub(), "method": "POST", "dataPath": "node.nodes", "partitionBy": "ids", "contentType": "application/json", "body": {"ids": list(range(30))}}
+    query = {"url": _stub(), "uri": "v2/keys?ids=" + json.dumps(list(range(50, 60))).replace(" ", ""), "dataPath": "node.nodes", "partitionBy": "ids"}
+    select = "select key, value from http.etcd.{} where _http = '{}'"
+    return engine(spark, sf_dir, (HTTP,)).sql(" union all ".join(select.format(t, json.dumps(q)) for t, q in (("a", body), ("b", query))))
+
+
+def _refused_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT into tables that can't be written."""
+    e, out = engine(spark, sf_dir, (HTTP,)), []
+    for table in ("http.etcd.keys", "test.test.csv"):
+        try:
+            e.sql(f"insert into {table} select 1")
+            out.append((table, False))
+        except SqlError:
+            out.append((table, True))
+    return spark.createDataFrame(out, "name string, refused boolean")
+
+
+def _client_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as clients of the endpoint get them, in each form."""
+    import pyarrow as pa
+
+    server = serve(engine(spark, sf_dir))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def asked(accept: str) -> bytes:
+        request = Request(f"http://127.0.0.1:{server.server_port}/query", b"select r_regionkey, r_name, r_name from region", {"Accept": accept})
+        with urlopen(request) as answer:
+            return answer.read()
+
+    try:
+        found = [("json", *r.values()) for r in json.loads(asked("application/json"))]
+        found += [("text", int(line.split(",")[0]), *line.split(",")[1:]) for line in asked("text/plain").decode().splitlines()[1:]]
+        found += [("arrow", *r.values()) for r in pa.ipc.open_stream(asked("application/octet-stream")).read_all().to_pylist()]
+    finally:
+        server.shutdown()
+        server.server_close()
+    return spark.createDataFrame(found, "form string, r_regionkey int, r_name string, again string")
+
+
+def _jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-row inserts into a JDBC table, then a read in parallel partitions with pushed-down filters.
+
+    The server is the one that comes with Spark, in this process's memory, so this runs where all runs on one machine.
+    """
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the in-memory JDBC server is only seen by its own process")
+    url = f"jdbc:derby:memory:lodestone{uuid.uuid4().hex};create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    connection = spark.sparkContext._jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(url, spark.sparkContext._jvm.java.util.Properties())
+    connection.createStatement().execute('CREATE TABLE "APP"."cust" ("id" BIGINT, "name" VARCHAR(100), "balance" DOUBLE)')
+    connection.close()
+    table = TableEntry("mysql", "mysql", "APP", "cust", (), {"url": url, "driver": driver, "partition-column": "id", "lower-bound": 0, "upper-bound": 1000, "num-partitions": 4})
+    e = engine(spark, sf_dir, (table,))
+    n = e.sql('insert into mysql."APP".cust (balance, id, name) select c_acctbal, c_custkey, c_name from customer').first()["affected"]
+    return e.sql(f'select c.id, c.name, o.o_orderkey, {n} as inserted from mysql."APP".cust c join orders o on c.id = o.o_custkey where c.balance > 5000.0 and c.id between 10 and 900')
+
+
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).sql("select data_source, network_id, var1 + network_id as twice, var2, var3, year(process_date) as y from test.test.csv")
 
@@ -184,12 +342,31 @@ def _statement(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _statement(sql) for name, (sql, _) in STATEMENTS.items()},
     **{name: _statement(sql) for name, sql in ROWS_ONLY.items()},
+    **{name: _statement(sql) for name, (sql, _) in LISTINGS.items()},
+    "csv_partitioned": _partitioned("csv"),
+    "orc_partitioned": _partitioned("orc"),
+    "show_partitions": _partitioned("parquet", "show partitions from file.info.parts where region > 0 order by region desc limit 3"),
+    "wildcard_table": _wildcard,
+    "http_table": _http,
+    "http_sliced": _http_sliced,
+    "refused_inserts": _refused_inserts,
+    "client_forms": _client_forms,
+    "jdbc_roundtrip": _jdbc,
     "csv_roundtrip_insert": _csv_round_trip,
     "synthetic_table": _synthetic,
 }
 
 ORACLES: dict[str, str] = {
     **{name: (sql if oracle is None else oracle) for name, (sql, oracle) in STATEMENTS.items()},
+    **{name: oracle for name, (_, oracle) in LISTINGS.items()},
+    **{name: "select c_name as name, CAST(c_nationkey % 5 AS INTEGER) as region, c_custkey as k from customer where c_nationkey % 5 in (1, 3) and c_custkey > 10" for name in ("csv_partitioned", "orc_partitioned")},
+    "show_partitions": "select CAST(r AS INTEGER) as region from (select distinct c_nationkey % 5 as r from customer where c_nationkey % 5 > 0 order by r desc limit 3)",
+    "wildcard_table": "select o_orderkey, n_name from orders join nation on o_custkey % 25 = n_nationkey",
+    "http_table": "select n_name, 'k' || n_nationkey as key, CAST(n_nationkey * n_nationkey + n_regionkey AS BIGINT) as v from nation where n_nationkey * n_nationkey > 3 and n_nationkey < 40",
+    "http_sliced": "select 'k' || i as key, CAST(i * i AS BIGINT) as value from range(60) t(i) where i < 30 or i >= 50",
+    "refused_inserts": "select * from (values ('http.etcd.keys', true), ('test.test.csv', true)) t(name, refused)",
+    "client_forms": "select form, r_regionkey, r_name, r_name as again from region, (values ('json'), ('text'), ('arrow')) t(form)",
+    "jdbc_roundtrip": "select c_custkey as id, c_name as name, o_orderkey, (select count(*) from customer) as inserted from customer join orders on c_custkey = o_custkey where c_acctbal > 5000 and c_custkey between 10 and 900",
     "csv_roundtrip_insert": """
         with t as (
             select CAST(n_nationkey AS BIGINT) as k, n_name as name, CAST(n_regionkey AS INTEGER) as r from nation

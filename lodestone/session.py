@@ -29,6 +29,12 @@ class Engine:
         settings = config if isinstance(config, Settings) else load(config) if config is not None else Settings()
         self.spark, self.catalog = spark, Catalog(spark, settings)
 
+    def session(self) -> Engine:
+        """An engine over the same tables whose USE doesn't change this one's default schema."""
+        other = Engine(self.spark, Settings(self.catalog.catalog, self.catalog.schema))
+        other.catalog.entries = self.catalog.entries
+        return other
+
     def register(self, name: str, frame) -> None:
         """Adds a table: a DataFrame, or a function of the session."""
         self.catalog.add(name, frame)
@@ -101,5 +107,5 @@ class Engine:
             else:
                 out.append(field.column.try_cast(kind).alias(c))
         seen = Observation()
-        source.append(scope.df.select(*out).observe(seen, F.count(F.lit(1)).alias("n")), entry)
-        return self.spark.createDataFrame([(int(seen.get.get("n") or 0),)], "affected long")
+        n = source.append(scope.df.select(*out).observe(seen, F.count(F.lit(1)).alias("n")), entry)
+        return self.spark.createDataFrame([(int((seen.get.get("n") if n is None else n) or 0),)], "affected long")

@@ -1,4 +1,7 @@
-"""Sources and sinks: each module has `read(spark, entry, name, requests)`, and `append(df, entry)` if it can be written."""
+"""Sources and sinks: each module has `read(spark, entry, name, requests)`, and `append(df, entry)` if it can be written.
+
+`append` returns the number of rows where Spark's observation of the frame doesn't tell it.
+"""
 
 from . import files, frames, http_json, mysql, synthetic
 

@@ -67,3 +67,25 @@ def test_plans(spark):
     assert "Cartesian" not in plan(spark, "join_comma") and "NestedLoop" not in plan(spark, "join_comma")
     for name in queries.STATEMENTS:
         assert "Python" not in plan(spark, name)
+
+
+def test_not_in_neither_broadcasts_all_nor_multiplies(spark):
+    """NOT IN and <> ALL are joins on equal keys, which shuffle where neither side is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("not_in_subquery", "quantified_any_all", "not_in_nulls"):
+            found = plan(spark, name)
+            assert "NestedLoop" not in found and "BroadcastHashJoin" not in found and "SortMergeJoin" in found
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_partitioned_csv_is_pruned(spark):
+    assert "PartitionFilters: [isnotnull(region" in plan(spark, "csv_partitioned").replace("PartitionFilters: [region", "PartitionFilters: [isnotnull(region")
+
+
+def test_jdbc_filters_are_pushed_down_and_reads_are_partitioned(spark):
+    df = queries.QUERIES["jdbc_roundtrip"](spark, DATA)
+    found = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(balance,5000.0)" in found or "*GreaterThan" in found
+    assert "numPartitions=4" in found

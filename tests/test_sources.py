@@ -164,6 +164,16 @@ def test_catalog_statements(engine):
             engine.sql(bad)
 
 
+def test_csv_with_partitions(spark, tmp_path):
+    e = Engine(spark, {"file-connector": {"file.x.p": {"file-type": "csv", "partitions": ["dt"], "column-names": ["id", "dt", "name"], "column-types": ["INT64", "INT32", "STRING"], "paths": [f"{tmp_path}/csv"]}}})
+    assert e.sql("insert into file.x.p select 1, 5, 'a,b'").first().affected == 1
+    assert e.sql("insert into file.x.p (name, id, dt) select 'c', 2, 6").first().affected == 1
+    assert sorted(p.name for p in (tmp_path / "csv").iterdir() if p.is_dir()) == ["dt=5", "dt=6"]
+    assert [tuple(r) for r in e.sql("select * from file.x.p order by id").collect()] == [(1, 5, "a,b"), (2, 6, "c")]
+    assert [tuple(r) for r in e.sql("select id from file.x.p where dt = 6").collect()] == [(2,)]
+    assert [r.dt for r in e.sql("show partitions from file.x.p order by dt").collect()] == [5, 6]
+
+
 def test_config(tmp_path):
     with pytest.raises(ValueError):
         config.load({"file-connector": {"a.b.c": {"column-names": ["x"], "column-types": []}}})
@@ -194,3 +204,23 @@ def test_endpoint(engine):
     with pytest.raises(Exception, match="400"):
         ask("select", "text/plain")
     server.shutdown()
+
+
+def test_endpoint_sessions_names_and_broken_answers(engine):
+    server = serve(engine)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(sql, accept="application/json"):
+        with urlopen(Request(f"http://127.0.0.1:{server.server_port}/query", sql.encode(), {"Accept": accept})) as r:
+            return r.read()
+
+    assert json.loads(ask("use test.test")) == [{"catalog": "test", "schema": "test"}]
+    assert len(json.loads(ask("select id from student"))) == 3  # another client's default schema is as it was
+    two = "select a.id, b.id, a.name as id_2 from student a join student b on a.id = b.id where a.id = 3"
+    assert json.loads(ask(two)) == [{"id": 3, "id_3": 3, "id_2": "Bo"}]
+    import pyarrow as pa
+
+    found = pa.ipc.open_stream(ask("select at, id from student where id <> 2 order by id", "application/octet-stream")).read_all()
+    assert [t.strftime("%Y-%m-%d %H:%M:%S") for t in found.column("at").to_pylist()] == ["2024-01-02 03:04:05", "2024-01-02 00:00:00"]
+    assert pa.ipc.open_stream(ask("select id from student where id > 99", "application/octet-stream")).read_all().num_rows == 0
+    server.shutdown()

@@ -174,3 +174,27 @@ def test_names(engine):
     for bad in ("nothing", "x.id", "nofunction(1)", "abs(1, 2)", "substr('a', -1, 2)"):
         with pytest.raises(SqlError):
             engine.sql(f"select {bad} from t")
+
+
+@pytest.mark.parametrize("where,want", [
+    ("i not in (select k from one where k is not null)", [0, -7, 3, 7, 7, 7]),
+    ("i not in (select k from one)", []),
+    ("i not in (select k from none)", [0, -7, None, 3, 7, 7, 7]),
+    ("not (i in (select k from none))", [0, -7, None, 3, 7, 7, 7]),
+    ("not (i in (select k from one) or id = 1)", []),
+    ("not (i in (select k + 2 from one where k < 3) and id > 0)", [0, -7, 7, 7, 7]),
+    ("i <> all (select k from one where k is not null)", [0, -7, 3, 7, 7, 7]),
+    ("i not in (select k from one where k = 1) or i is null", [0, -7, None, 3, 7, 7, 7]),
+    ("(i not in (select k from one)) is null", [0, -7, None, 3, 7, 7, 7]),
+    ("s not in (select k from one where k = 1)", [7, 0, -7, 7, 7, 3]),
+])
+def test_not_in_with_nulls(engine, where, want):
+    key = lambda v: (v is None, v or 0)
+    assert sorted((r[0] for r in values(engine, f"select i from t where {where}")), key=key) == sorted(want, key=key)
+
+
+def test_ordered_sum_of_strings(engine):
+    assert values(engine, "select sum(v order by k desc) as a, sum(v order by k) as b, sum(k order by v) as c from one") == [("yxz", "zxy", 3)]
+    for bad in ("sum(v order by k, v desc)", "sum(distinct v order by k)", "sum(v order by k nulls last)"):
+        with pytest.raises(SqlError):
+            engine.sql(f"select {bad} from one")
