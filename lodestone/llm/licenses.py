@@ -8,10 +8,16 @@ window by dynamic programming within `BAND` words of the diagonal, for the most
 subsequence); matched words against the template's words are the coverage, and at `COVERAGE` or more the match is
 reported with its span. Where a document has several windows of a template, alignments may also pass from one to a
 later one, over an insertion of any length, if the part that follows matches more than `JUMP` words; the span then
-covers the insertion. Of matches that share a part the one with the larger excess of matched over unmatched template
+covers the insertion.
+
+A match must also name the template's license: of the words that tell licenses apart (`NAMES`, `TERMS` of Creative
+Commons, version numbers), the matched parts of the document may hold none that the template lacks and, where the
+template is a notice of at most `NOTICE` words, must hold all of it. So a notice of the BSD License isn't one of MIT though four words of five agree, nor CC BY-NC-ND one of CC BY-NC. Of
+matches that share a part the one with the larger excess of matched over unmatched template
 words stays, so a text isn't reported by a longer license that it is most of.
 
-Any undisturbed run of `GRAM + WINNOW - 1` template words is sure to hold a fingerprint. Documents are scanned whole,
+Any undisturbed run of `GRAM + WINNOW - 1` template words, or of `GRAM` of a notice, which keeps all its hashes, is
+sure to hold a fingerprint. Documents are scanned whole,
 in the task that reads them; the index is that of the templates given, so nothing is shuffled.
 
 Defined results: null counts as empty and has no matches; repeated rows are reported each; offsets are code points,
@@ -32,6 +38,9 @@ from .arrow import grams, groups_of, texts_of, words_of
 GRAM, WINNOW, BAND, COVERAGE, JUMP = 3, 2, 12, 0.8, 8
 SLICE = 2 << 20
 FOUND = "doc_id long, license string, coverage double, matched_words long, template_words long, start long, end long, licensed_text string"
+NAMES = "affero apache apsl artistic boost bsd cc0 cddl cecill eclipse epl eupl gnu gpl agpl lgpl isc lesser mit mozilla mpl unlicense wtfpl zlib".split()
+TERMS = "by nc nd sa".split()
+NOTICE = 20  # templates of as many words are notices: any number in them is part of a version
 PLAIN = np.full(256, 0x20, np.uint8)
 PLAIN[0x30:0x3A], PLAIN[0x61:0x7B], PLAIN[0x41:0x5B] = range(0x30, 0x3A), range(0x61, 0x7B), range(0x61, 0x7B)
 PLAIN[0x80:] = range(0x80, 0x100)
@@ -45,7 +54,13 @@ TEMPLATES = {
     "LGPL-3.0 (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "GPL-2.0 (header)": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     "LGPL-2.1 (header)": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "GPL-2.0 (notice)": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 (notice)": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 (notice)": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 (notice)": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MIT (notice)": "Released under the MIT License.",
+    "BSD (notice)": "Released under the BSD License.",
+    "ISC (notice)": "Released under the ISC License.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
@@ -54,6 +69,13 @@ TEMPLATES = {
     "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 (notice)": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0 (notice)": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 (notice)": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 (notice)": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 (notice)": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-3.0 (notice)": "Licensed under CC BY 3.0.",
+    "CC-BY-SA-3.0 (notice)": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-NC-3.0 (notice)": "Licensed under CC BY-NC 3.0.",
+    "CC-BY-NC-SA-3.0 (notice)": "Licensed under CC BY-NC-SA 3.0.",
     "All rights reserved (notice)": "All rights reserved.",
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
@@ -64,21 +86,52 @@ def plain_words(text: str) -> np.ndarray:
     return words_of(bounds, PLAIN[data])[1]
 
 
+_NAMES = frozenset(int(x) for x in plain_words(" ".join(NAMES)))
+_TERMS = frozenset(int(x) for x in plain_words(" ".join(TERMS)))
+_NUMBERS = {int(plain_words(str(n))[0]): n for n in range(100)}
+_VERSION = frozenset(int(x) for x in plain_words("version v"))
+
+
+def marks(words: np.ndarray, notice: bool) -> frozenset:
+    """What tells licenses apart in `words`: names and, of a notice, terms and numbers, else numbers after "version"."""
+    found, after = set(), False
+    for word in words.tolist():
+        if word in _NUMBERS and (notice or after):
+            found.add(_NUMBERS[word])
+        else:
+            after = word in _VERSION
+            if word in _NAMES or notice and word in _TERMS:
+                found.add(word)
+    return frozenset(found)
+
+
 class Index:
     """Templates as word hashes, and the inverted index of their fingerprints."""
 
     def __init__(self, templates: dict[str, str]) -> None:
-        self.names = list(templates)
+        self.titles = list(templates)
         self.words = [plain_words(t) for t in templates.values()]
+        self.notices = [len(words) <= NOTICE for words in self.words]
+        self.marks = [marks(words, notice) for words, notice in zip(self.words, self.notices)]
+        self.ends_in_number = [int(words[-1]) in _NUMBERS if len(words) else False for words in self.words]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for number, words in enumerate(self.words):
             gram = grams(words, GRAM)
             if len(gram):
-                kept = {i + int(np.argmin(gram[i : i + WINNOW])) for i in range(max(1, len(gram) - WINNOW + 1))}
+                winnow = 1 if self.notices[number] else WINNOW
+                kept = {i + int(np.argmin(gram[i : i + winnow])) for i in range(max(1, len(gram) - winnow + 1))}
                 for i in sorted(kept):
                     self.places[int(gram[i])].append((number, i))
         self.fingerprints = np.array(sorted(self.places), np.uint64)
 
+    def names(self, number: int, document: np.ndarray, parts: list[tuple[int, int]]) -> bool:
+        """Whether the matched parts name the template's license and no other."""
+        found, wanted = marks(np.concatenate([document[a : b + 1] for a, b in parts]), self.notices[number]), self.marks[number]
+        if not found <= wanted or self.notices[number] and found != wanted:
+            return False
+        after = parts[-1][1] + 1
+        return not (self.notices[number] and self.ends_in_number[number] and after < len(document) and _NUMBERS.get(int(document[after]), 0))
+
     def candidates(self, gram: np.ndarray, hits: np.ndarray) -> dict[int, list[int]]:
         """Of each template the starts in the document of hits whose diagonals lie within the band of each other."""
         diagonals = defaultdict(list)
@@ -100,7 +153,7 @@ def aligned(template: np.ndarray, document: np.ndarray, start: int, band: int =
     n = len(template)
     # cell (i, d): i words of the template used, the document at start + i + d, with d in -band..2 * band
     width = 3 * band + 1
-    score, first, last = np.zeros(width, np.int64), np.full(width, -1, np.int64), np.full(width, -1, np.int64)
+    score, first, last, own = np.zeros(width, np.int64), np.full(width, -1, np.int64), np.full(width, -1, np.int64), np.arange(width)
     for i in range(n):
         places = start + i + np.arange(width) - band
         inside = (places >= 0) & (places < len(document))
@@ -113,9 +166,9 @@ def aligned(template: np.ndarray, document: np.ndarray, start: int, band: int =
         new_first = np.where(better, np.where(equal & (first < 0), places, first), up_first)
         new_last = np.where(better, np.where(equal, places, last), up_last)
         score, first, last = np.where(better, meet, up_score), new_first, new_last
-        for d in range(1, width):  # words of the document without partner
-            if score[d - 1] > score[d]:
-                score[d], first[d], last[d] = score[d - 1], first[d - 1], last[d - 1]
+        # words of the document without partner: the nearest best cell before, where it is better
+        taken = np.maximum.accumulate(np.where(score == np.maximum.accumulate(score), own, 0))
+        score, first, last = score[taken], first[taken], last[taken]
     best = int(np.argmax(score))
     return int(score[best]), int(first[best]), int(last[best])
 
@@ -213,6 +266,8 @@ def _scanner(templates: dict[str, str]):
                     for number, starts in index.candidates(gram[firsts[text] :], hits[owner == text] - firsts[text]).items():
                         template = index.words[number]
                         for matched, parts in matches(template, words, starts):
+                            if not index.names(number, words, parts):
+                                continue
                             found.append((len(template) - 2 * matched, parts[-1][1] - parts[0][0], parts[0][0], parts[-1][1], number, matched, parts))
                     kept: list[tuple] = []
                     for match in sorted(found):
@@ -220,7 +275,7 @@ def _scanner(templates: dict[str, str]):
                             kept.append(match)
                     if kept:
                         a, b = int(bounds[i + text] - lo), int(bounds[i + text + 1] - lo)
-                        rows += [(ids[i + text], index.names[n], m / len(index.words[n]), m, len(index.words[n]), *_span(data[lo + a : lo + b], plain[a:b], f, e)) for _, _, f, e, n, m, _ in sorted(kept, key=lambda k: k[2:4])]
+                        rows += [(ids[i + text], index.titles[n], m / len(index.words[n]), m, len(index.words[n]), *_span(data[lo + a : lo + b], plain[a:b], f, e)) for _, _, f, e, n, m, _ in sorted(kept, key=lambda k: k[2:4])]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             names = ("doc_id", "license", "coverage", "matched_words", "template_words", "start", "end", "licensed_text")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names)

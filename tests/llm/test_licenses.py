@@ -77,5 +77,70 @@ def test_insertions_of_any_length(spark, long):
     assert sorted(x[:2] for x in twice) == [("MIT", 1.0)] * 2 + [("MPL-2.0 (header)", 1.0)] * 2
 
 
+NAMED = {
+    "Released under the BSD License.": ["BSD (notice)"],
+    "Released under the Apache License.": [],
+    "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0 (notice)"],
+    "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0 (notice)"],
+    "Licensed under CC BY 3.0.": ["CC-BY-3.0 (notice)"],
+    "Licensed under CC BY 2.5.": [],
+    "Licensed under CC BY-ND 3.0.": [],
+    "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0 (notice)"],
+    "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0 (notice)"],
+    "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0 (notice)"],
+    "This work is licensed under the GNU General Public License, version 3.0 or later.": ["GPL-3.0 (notice)"],
+    "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0 (notice)"],
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1 (notice)"],
+    "This work is licensed under the GNU Lesser General Public License, version 2.": [],
+    "Licensed under the Apache License, Version 1.1.": [],
+    "Licensed under the Apache License, Version 2.0.": ["Apache-2.0 (notice)"],
+    "Released, in 2020, under the MIT License.": ["MIT (notice)"],
+    "The rights of all readers are reserved by the press.": [],
+}
+
+
+@pytest.mark.parametrize("around", ["", "ka lo mi "])
+def test_names_of_like_licenses(spark, around):
+    texts = [around + t + " " + around for t in NAMED]
+    got = [[x[0] for x in f] for f in found_in(spark, texts)]
+    assert dict(zip(NAMED, got)) == NAMED
+    gpl = licenses.TEMPLATES["GPL-3.0 (header)"]
+    headers = [gpl.replace("version 3", "version 7"), gpl.replace("GNU General", "GNU Lesser General"), licenses.TEMPLATES["Apache-2.0 (header)"].replace("Version 2.0", "Version 3.0")]
+    assert [[x[0] for x in f] for f in found_in(spark, headers)] == [[], ["LGPL-3.0 (header)"], []]
+
+
+def runs(words, n):
+    return {tuple(words[k : k + n].tolist()) for k in range(len(words) - n + 1)}
+
+
+def test_equals_brute_force_alignment(spark):
+    """What is reported, and what isn't, against the alignment of every template at every word of every text."""
+    rng = random.Random(3)
+    words = "released licensed under the mit apache bsd license version 2 3 4 0 cc by nc sa all rights reserved this work is gnu general public lesser ka lo".split()
+    texts = list(NAMED) + [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(20)]
+    for text in list(licenses.TEMPLATES.values())[::2]:
+        parts = text.split()
+        for k in range(0, len(parts), 7):
+            parts[k] = rng.choice([parts[k], parts[k], "other"])
+        texts.append("ka lo " + " ".join(parts) + " mi")
+    index = licenses.Index(licenses.TEMPLATES)
+    got = found_in(spark, texts)
+    for text, found in zip(texts, got):
+        document = licenses.plain_words(text)
+        accepted = {}
+        for number, title in enumerate(index.titles):
+            template = index.words[number]
+            size = licenses.GRAM if index.notices[number] else licenses.GRAM + licenses.WINNOW - 1
+            run = runs(template, size)  # only matches with an undisturbed run are sure to be found
+            for start in range(-len(template) // 5, len(document), licenses.BAND // 2):
+                matched, first, last = licenses.aligned(template, document, start)
+                if run & runs(document, size) and matched >= 0.8 * len(template) and index.names(number, document, [(first, last)]):
+                    accepted[title] = max(accepted.get(title, -1000), 2 * matched - len(template))
+        assert {x[0] for x in found} <= set(accepted), text
+        assert bool(found) == bool(accepted), (text, accepted)
+        if accepted:
+            assert max(accepted.values()) == max(accepted[x[0]] for x in found), (text, accepted, found)
+
+
 def test_empty(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
