@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or for a session without it a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or, where all runs on one machine, a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return _with_scheme(spark, folder)
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return _with_scheme(spark, known.get())
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lodestone-")
     atexit.register(shutil.rmtree, own, True)
     context.setCheckpointDir("file://" + own)
@@ -39,8 +41,21 @@ def _with_scheme(spark: SparkSession, folder: str) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in this application's part of the shared folder that nothing else uses."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application's operators have written to the shared folder.
+
+    Call it when their results have been read or saved: lazy results read those tables.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ ONES = 1 | 1 << 20 | 1 << 40
 MASK = (2**19 - 1) * ONES
 SHIFTS = (0, 20, 40)
 CELLS = 1 << 16
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 
 
 def paragraph_vector(paragraph: Column) -> Column:

@@ -1,7 +1,7 @@
 """WARC records in stored members of ZIP packages, written and range-read by Spark tasks.
 
 A package holds archive/data.warc.gz, a stored member of gzip-compressed records, and indexes/index.cdxj, a stored
-member with a line for each record: its place and length in the archive member. `members` parses the end record,
+member with a CDXJ line for each record, sorted: its SURT key, time, and its place and length in the archive member. `members` parses the end record,
 the ZIP64 records and the central directory from ranges of the file; `read` takes the index, then reads each
 record's range. Nothing is extracted, and no file is read whole.
 
@@ -48,26 +48,41 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def _name(page_id: int | None, digest: str, copy: str = "") -> str:
+    """A record's id; `copy` tells rows apart that repeat a page_id and payload."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}{':' + copy if copy else ''}>"
 
 
 def _id(name: str) -> int | None:
-    value = name.removeprefix("<urn:page:").removesuffix(">")
+    value = name.removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
     return None if value == "null" else int(value)
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def target(url: str) -> str:
+    """`url` without characters that would end a header or an index key."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def surt(uri: str) -> str:
+    """The sort-friendly form of a target: host parts from the last, then path and query."""
+    found = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^#]*)", uri)
+    if not found:
+        return uri or "-"
+    host, _, port = found[1].lower().partition(":")
+    return ",".join(reversed(host.removeprefix("www.").split("."))) + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (found[2] or "/").lower()
+
+
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool, copy: str = "") -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP headers, with the payload's length, and no payload."""
+    digest = sha1_base32(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http; msgtype=response",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id, digest, copy)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to, digest)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -93,7 +108,8 @@ def parsed(data: bytes) -> dict:
 class Package:
     """Writes one package to a stream that needn't be seekable; its index is at most a line for each record."""
 
-    def __init__(self, stream) -> None:
+    def __init__(self, stream, name: str = "") -> None:
+        self.name, self.last = name, None
         self.zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
         self.member = self.zip.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True)
         self.index: list[str] = []
@@ -101,14 +117,20 @@ class Package:
 
     def add(self, page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> None:
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-        data = pack.compress(record(page_id, url, payload, refers_to, revisit)) + pack.flush()
+        digest = sha1_base32(payload)
+        # rows of one page_id and payload come one after the other
+        copy = f"{self.name}-{len(self.index)}" if self.last == (page_id, digest) else ""
+        self.last = (page_id, digest)
+        data = pack.compress(record(page_id, url, payload, refers_to, revisit, copy)) + pack.flush()
         self.member.write(data)
-        self.index.append(json.dumps({"page": page_id, "offset": self.bytes, "length": len(data)}))
+        uri = target(url)
+        about = {"url": uri, "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(data)), "offset": str(self.bytes), "filename": "data.warc.gz"}
+        self.index.append(f"{surt(uri)} {re.sub('[^0-9]', '', DATE)} {json.dumps(about)}")
         self.bytes += len(data)
 
     def close(self) -> None:
         self.member.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.index))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(line + "\n" for line in sorted(self.index)))
         self.zip.close()
 
 
@@ -178,7 +200,7 @@ def _writer(folder: str):
                     path = f"{folder}/{uuid.uuid4().hex}.wacz"
                     store, inner = _open(path)
                     stream = store.open_output_stream(inner)
-                    package = Package(stream)
+                    package = Package(stream, inner.rpartition("/")[2].partition(".")[0])
                 page, first = page_id.as_py(), first.as_py()
                 package.add(page, url.as_py() or "", (html.as_py() or "").encode(), first, page != first)
                 if package.bytes >= PACKAGE_BYTES:
@@ -199,8 +221,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, length = found[INDEX]
                 base, _ = found[ARCHIVE]
                 file.seek(start)
-                lines = [json.loads(x) for x in file.read(length).split(b"\n") if x]
-            yield pa.RecordBatch.from_pydict({"path": [path] * len(lines), "offset": pa.array([base + x["offset"] for x in lines], pa.int64()), "length": pa.array([x["length"] for x in lines], pa.int64())})
+                lines = [json.loads(x.split(b" ", 2)[2]) for x in file.read(length).split(b"\n") if x]
+            places = sorted((base + int(x["offset"]), int(x["length"])) for x in lines)
+            yield pa.RecordBatch.from_pydict({"path": [path] * len(places), "offset": pa.array([p[0] for p in places], pa.int64()), "length": pa.array([p[1] for p in places], pa.int64())})
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +260,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     store.create_dir(inner)
     named = firsts(pages).select(F.col("page_id").alias("_p"), F.col("_d").alias("_e"), "first")
     rows = pages.withColumn("_d", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)))
-    rows = rows.join(named, rows["page_id"].eqNullSafe(named["_p"]) & (rows["_d"] == named["_e"]))
+    # by a shuffle, so that rows of one page_id and payload meet and their records' ids can be told apart
+    rows = rows.join(named.hint("merge"), rows["page_id"].eqNullSafe(named["_p"]) & (rows["_d"] == named["_e"]))
     return written(rows.select("page_id", "url", "html", "first").mapInArrow(_writer(folder), MANIFEST), "manifest")
 
 

@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import io
+import json
 import struct
 import zipfile
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -63,6 +65,24 @@ def test_packages_are_rotated_and_read_by_zipfile(spark, tmp_path, monkeypatch):
     assert warc.read(spark, manifest).count() == 60
 
 
+def test_index_lines_and_record_ids(spark, tmp_path):
+    rows = [(1, "http://www.Example.org:80/a b?q", "x")] * 3 + [(1, "u", "y"), (2, "https://b.org", "x"), (3, None, "z")]
+    ids, keys = [], []
+    for r in warc.write(pages(spark, rows), f"file://{tmp_path}/packages").collect():
+        with zipfile.ZipFile(r.path.removeprefix("file://")) as real:
+            lines, data = real.read(warc.INDEX).decode().splitlines(), real.read(warc.ARCHIVE)
+        assert lines == sorted(lines)
+        for line in lines:
+            key, time, about = line.split(" ", 2)
+            about = json.loads(about)
+            head = zlib.decompress(data[int(about["offset"]) : int(about["offset"]) + int(about["length"])], 31).decode().split("\r\n")
+            ids += [h for h in head if h.startswith("WARC-Record-ID")]
+            keys.append((key, time, about["mime"]))
+            assert f"WARC-Target-URI: {about['url']}".rstrip() in [h.rstrip() for h in head]
+    assert len(set(ids)) == len(rows)
+    assert sorted(keys) == sorted([("org,example)/a%20b?q", "20240101000000", "text/html")] * 3 + [("u", "20240101000000", "text/html"), ("org,b)/", "20240101000000", "warc/revisit"), ("-", "20240101000000", "text/html")])
+
+
 def _small(write):
     def run(batches):
         warc.PACKAGE_BYTES = 4096
