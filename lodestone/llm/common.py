@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -54,15 +55,56 @@ def clear(spark: SparkSession) -> None:
 
     Call it when their results have been read or saved: lazy results read those tables.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, run_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read again, which cuts its lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    if _scopes():
+        _scopes()[-1].tables.append(found)
+    return found
+
+
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[scratch]:
+    """The open scopes of this thread, innermost last."""
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
+class scratch:
+    """A scope whose written tables are deleted at its end, but for those it keeps, which pass to the scope around it.
+
+    Only for tables that nothing lazy reads any more: what is returned must be written, and kept.
+    """
+
+    def __enter__(self) -> scratch:
+        self.tables: list[DataFrame] = []
+        _scopes().append(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t is not table]
+        if len(_scopes()) > 1:
+            _scopes()[-2].tables.append(table)
+        return table
+
+    def __exit__(self, *error) -> None:
+        _scopes().pop()
+        for table in self.tables:
+            _delete(table.sparkSession, table._written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 _HELD: dict[tuple, object] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, written
+from .common import scratch, skew_join, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         if row[0] == 0 or tuple(row) == mark:
             break
         mark = tuple(row)
-        edges = written(_small_star(_large_star(edges)), "edges")
+        with scratch() as scope:
+            edges = scope.keep(written(_small_star(_large_star(edges)), "edges"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").distinct().toDF("node", "component"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import grams, groups_of, mixed, texts_of, words_of
-from .common import held, numbered, skew_join, written
+from .common import held, numbered, scratch, skew_join, written
 from .graph import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -215,9 +215,10 @@ def _spread(pairs: DataFrame, texts: DataFrame, key: str, other: str) -> DataFra
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """The pairs (a, b) of `pairs` with their similarity, if it is `least` or more."""
-    with_b = written(_spread(pairs, texts, "b", "a"), "halves")
-    both = _spread(with_b, texts, "a", "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_verifier(idf, least), "a long, b long, similarity double"), "links")
+    with scratch() as scope:
+        with_b = written(_spread(pairs, texts, "b", "a"), "halves")
+        both = _spread(with_b, texts, "a", "b").select("a", "b", "text_a", "text_b")
+        return scope.keep(written(both.mapInArrow(_verifier(idf, least), "a long, b long, similarity double"), "links"))
 
 
 def _weighed(idf):
@@ -286,7 +287,8 @@ def near_links(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFr
     heads = nodes.join(members.select("nid").distinct(), "nid").select("nid", F.col("head").alias("row"))
     texts = written(rows.join(heads, "row").select("nid", "text"), "texts")
     links = _verified(star, texts, idf, least)
-    rest = written(_rest(members, texts, components(links), star, idf, least), "rest")
+    with scratch() as scope:
+        rest = scope.keep(written(_rest(members, texts, components(links), star, idf, least), "rest"))
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, idf, least))
     return named.select("row", "doc_id", "node"), nodes.select("nid", "node", "low", "size"), links
@@ -294,12 +296,14 @@ def near_links(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFr
 
 def _labelled(rows: DataFrame, least: float) -> DataFrame:
     """row, doc_id, component, class_id and class_size of every document of `rows` (row, doc_id, text)."""
-    named, nodes, links = near_links(rows, least)
-    labels = components(links).select(F.col("node").alias("nid"), "component")
-    nodes = written(nodes.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid")), "labelled")
-    classed = nodes.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("_n"))
-    nodes = skew_join(nodes, classed, "component")
-    return skew_join(named, nodes.select("node", "component", "class_id", "class_size", F.col("size").alias("_n")), "node").drop("_n", "node")
+    with scratch() as scope:
+        named, nodes, links = near_links(rows, least)
+        labels = components(links).select(F.col("node").alias("nid"), "component")
+        nodes = written(nodes.join(labels, "nid", "left").withColumn("component", F.coalesce("component", "nid")), "labelled")
+        classed = nodes.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("_n"))
+        nodes = skew_join(nodes, classed, "component")
+        labelled = skew_join(named, nodes.select("node", "component", "class_id", "class_size", F.col("size").alias("_n")), "node")
+        return scope.keep(written(labelled.drop("_n", "node"), "classes"))
 
 
 def _read(copy: DataFrame) -> DataFrame:
@@ -308,7 +312,9 @@ def _read(copy: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_size (documents) of every document."""
-    return _labelled(_read(numbered(docs.select("doc_id", "text"))), least).select("doc_id", "class_id", "class_size")
+    with scratch() as scope:
+        found = scope.keep(_labelled(_read(numbered(docs.select("doc_id", "text"))), least))
+    return found.select("doc_id", "class_id", "class_size")
 
 
 def kept_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
