@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,13 +113,25 @@ def _delete(spark: SparkSession, path: str) -> None:
 _HELD: dict[tuple, object] = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, which C allocators else keep for the worker's life."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def held(key: tuple, make: Callable[[], object]):
     """What `make` makes for `key`, kept by a Python worker until another key is asked for.
 
     Workers are used by one operator after another; so each holds the tables and caches of one only.
     """
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
