@@ -15,6 +15,7 @@ from urllib.request import Request, urlopen
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Settings, TableEntry
+from .derby import database
 from .server import serve
 from .session import Engine
 from .sql.lexer import SqlError
@@ -314,18 +315,9 @@ def _client_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multi-row inserts into a JDBC table, then a read in parallel partitions with pushed-down filters.
-
-    The server is the one that comes with Spark, in this process's memory, so this runs where all runs on one machine.
-    """
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("the in-memory JDBC server is only seen by its own process")
-    url = f"jdbc:derby:memory:lodestone{uuid.uuid4().hex};create=true"
-    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    connection = spark.sparkContext._jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(url, spark.sparkContext._jvm.java.util.Properties())
-    connection.createStatement().execute('CREATE TABLE "APP"."cust" ("id" BIGINT, "name" VARCHAR(100), "balance" DOUBLE)')
-    connection.close()
-    table = TableEntry("mysql", "mysql", "APP", "cust", (), {"url": url, "driver": driver, "partition-column": "id", "lower-bound": 0, "upper-bound": 1000, "num-partitions": 4})
+    """Multi-row inserts into a JDBC table, then a read in parallel partitions with pushed-down filters."""
+    server = database(spark, 'CREATE TABLE "APP"."cust" ("id" BIGINT, "name" VARCHAR(100), "balance" DOUBLE)')
+    table = TableEntry("mysql", "mysql", "APP", "cust", (), server | {"partition-column": "id", "lower-bound": 0, "upper-bound": 1000, "num-partitions": 4})
     e = engine(spark, sf_dir, (table,))
     n = e.sql('insert into mysql."APP".cust (balance, id, name) select c_acctbal, c_custkey, c_name from customer').first()["affected"]
     return e.sql(f'select c.id, c.name, o.o_orderkey, {n} as inserted from mysql."APP".cust c join orders o on c.id = o.o_custkey where c.balance > 5000.0 and c.id between 10 and 900')

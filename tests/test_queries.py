@@ -89,3 +89,55 @@ def test_jdbc_filters_are_pushed_down_and_reads_are_partitioned(spark):
     found = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(balance,5000.0)" in found or "*GreaterThan" in found
     assert "numPartitions=4" in found
+
+
+#: on executors of their own: rows of a query; of a table of many types; after an insert that fails; without the password
+ON_A_CLUSTER = """
+import json, sys
+from pyspark.sql import SparkSession, functions as F
+from lodestone import derby, queries
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "700m").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").getOrCreate()
+df = queries.QUERIES["jdbc_roundtrip"](spark, sys.argv[1])
+out = {"columns": df.columns, "rows": [list(r) for r in df.collect()]}
+options = derby.database(spark, 'CREATE TABLE "APP"."t" ("id" BIGINT, "name" VARCHAR(20), "x" DOUBLE, "d" DATE, "t" TIMESTAMP, "m" DECIMAL(20, 3), "b" BOOLEAN, "y" BLOB, "c" CLOB)')
+options["dbtable"] = '"APP"."t"'
+read = lambda: spark.read.format("jdbc").options(**options, partitionColumn="id", lowerBound="0", upperBound="5000", numPartitions="4", fetchsize="300").load()
+write = lambda df: df.write.format("jdbc").mode("append").options(**options, batchsize="700").save()
+many = spark.range(0, 5000, 1, 4).selectExpr("id", "'nä' || id as name", "if(id % 3 = 0, null, id / 7) as x", "date'2020-01-31' + int(id % 9) as d", "timestamp'2020-03-29 02:30:00.123456' + make_interval(0, 0, 0, 0, 0, 0, id) as t", "cast(id / 8 as decimal(20, 3)) as m", "id % 2 = 0 as b", "cast('z' || id as binary) as y", "'clob' || id as c")
+write(many)
+out["lost"], out["count"] = many.exceptAll(read()).count(), read().count()
+for attempt in (lambda: write(spark.range(3).selectExpr("id", "repeat('x', if(id = 2, 500, 5)) as name").coalesce(1)), lambda: options.update(password="wrong") or read()):
+    kept = dict(options)
+    try:
+        attempt()
+    except Exception as error:
+        out.setdefault("errors", []).append(str(error)[:900])
+    options.update(kept)
+out["then"] = read().count()
+print("FOUND" + json.dumps(out))
+spark.stop()
+"""
+
+
+def test_jdbc_reaches_executors_of_other_processes(duck, tmp_path):
+    import importlib.util
+    import json
+    import os
+    import subprocess
+    import sys
+
+    home = tmp_path / "home"  # executors' logs go to work in Spark's home
+    (home / "work").mkdir(parents=True)
+    for path in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if path.name != "work":
+            (home / path.name).symlink_to(path)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+    for inherited in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "SPARK_ENV_LOADED"):
+        env.pop(inherited, None)
+    ran = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, DATA], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "FOUND" in ran.stdout, ran.stderr[-3000:]
+    found = json.loads(ran.stdout.rpartition("FOUND")[2])
+    expected = duck.sql(__spark_entry__.oracle_sql()["jdbc_roundtrip"])
+    assert rows(found["columns"], found["rows"]) == rows(expected.columns, expected.fetchall()) and found["rows"]
+    assert (found["lost"], found["count"], found["then"]) == (0, 5000, 5000)
+    assert "truncation" in found["errors"][0] and "wrong password" in found["errors"][1]
